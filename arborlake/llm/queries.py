@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import decontaminate, packing, pii, simhash, token_counts, token_files
+from arborlake.llm import decontaminate, media, packing, pii, quality, simhash, token_counts, token_files, toxicity, warc
 from arborlake.llm.shared import importable
 
 
@@ -23,6 +23,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_through_archives(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), rule="majority")
 
@@ -31,10 +39,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(_table(spark, sf_dir, "documents"))).drop("declared", "type")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.through_files(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -49,6 +65,30 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op4_packing, op6_decontamination, op8_token_files, op9_simhash, op10_personal_data)
+    f.__name__: f
+    for f in (op1_quality, op2_warc, op3_token_counts, op4_packing, op5_media, op6_decontamination, op7_toxicity, op8_token_files, op9_simhash, op10_personal_data)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        best AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+            CASE WHEN keeper IS NOT NULL AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN keeper IS NOT NULL AND keeper <> page_id THEN keeper END AS refers_to
+        FROM p LEFT JOIN best ON p.d = best.d""",
+    "op6_decontamination": r"""
+        WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, list_aggregate(w[s : s + least(len(w), 10) - 1], 'string_agg', ' ') AS g
+            FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS s FROM iw WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        spread AS (SELECT doc_id, n, s, list_aggregate(w[s : s + n - 1], 'string_agg', ' ') AS g
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, sizes WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, item_id, s, n FROM spread JOIN windows USING (n, g)),
+        places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+            sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }
-ORACLE_SQL: dict[str, str] = {}
