@@ -70,12 +70,19 @@ def date_formats() -> list[tuple[str, str]]:
     return out + list(_TIMES)
 
 
+#: Parts of strftime formats and of Spark patterns.
+_PARTS = {"Y": "yyyy", "m": "M", "d": "d", "y": "yy", "H": "H", "M": "m", "S": "s", "p": "a", "I": "h", "b": "MMM", "B": "MMMM", "j": "D", "z": "XX", "%": "%"}
+
+
 def spark_pattern(fmt: str) -> str:
+    """The Spark pattern of a strftime format; letters between its parts are quoted."""
     known = dict(date_formats())
     if fmt in known:
         return known[fmt]
-    parts = {"Y": "yyyy", "m": "M", "d": "d", "y": "yy", "H": "H", "M": "m", "S": "s", "p": "a", "I": "h", "b": "MMM", "B": "MMMM", "j": "D", "z": "XX"}
-    return re.sub(r"%([A-Za-z])", lambda m: parts[m[1]], re.sub(r"([A-Za-z]+)(?<!%[A-Za-z])", lambda m: m[0], fmt))
+    out = ""
+    for part, text in re.findall(r"%\.?([A-Za-z%])|([^%]+)", fmt):
+        out += _PARTS[part] if part else re.sub("[A-Za-z]+", lambda m: f"'{m[0]}'", text)
+    return out
 
 
 def parse_date(text: Column, fmt: str) -> Column:
@@ -97,7 +104,7 @@ def date_part(stamp: Column, part: str) -> Column:
         "Dayofyear": F.dayofyear(stamp), "Is_month_end": month_end, "Is_month_start": month_start,
         "Is_quarter_end": month_end & (F.month(stamp) % 3 == 0), "Is_quarter_start": month_start & (F.month(stamp) % 3 == 1),
         "Is_year_end": month_end & (F.month(stamp) == 12), "Is_year_start": month_start & (F.month(stamp) == 1),
-        "Hour": F.hour(stamp), "Minute": F.minute(stamp), "Second": F.second(stamp), "Elapsed": F.unix_seconds(stamp),
+        "Hour": F.hour(stamp), "Minute": F.minute(stamp), "Second": F.second(stamp), "Elapsed": F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), stamp.cast("timestamp_ntz")),
     }
     return made[part].cast("int").cast("long") if part.startswith("Is_") else made[part].cast("long")
 

@@ -78,6 +78,10 @@ class Encoder:
 
     def raw(self, df: DataFrame, f: Feature) -> Column:
         """A feature's value as a double, or as text for lexical ones; null where missing."""
+        if f.kind == "numeric" and self.markers.get(f.sources[0], "") in ("", None) and isinstance(df.schema[f.sources[0]].dataType, T.NumericType):
+            number = F.col(f"`{f.sources[0]}`").cast("double")
+            finite = F.abs(number) < float("inf")
+            return F.when(number.isNotNull() & ~finite, F.raise_error(F.lit(f"non-finite numeric value in {f.name!r}")).cast("double")).otherwise(number)
         text = [without_marker(encode.as_text(df, c), self.markers.get(c, "")) for c in f.sources]
         if f.kind == "lexical":
             return text[0]
@@ -164,6 +168,10 @@ def _tree(rows: pd.DataFrame, width: int, classes: int, config: Config) -> pd.Da
     return pd.DataFrame({"config_id": config_id, "tree_id": tree_id, "node_id": range(len(cut)), "feature": tree["feature"], "kind": tree["kind"], "cut": cut, "missing_right": tree["missing_right"], "left_id": tree["left"], "n": tree["n"], "gain": tree["gain"], "depth": tree["depth"], "value": value})
 
 
+def _grower(width: int, classes: int, config: Config):
+    return lambda rows: _tree(rows, width, classes, config)
+
+
 def packed_trees(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
     out = []
     for _, t in nodes.sort_values(["tree_id", "node_id"]).groupby("tree_id"):
@@ -382,7 +390,7 @@ class _Forest:
             for i, c in configs.items():
                 plan = plans[i]
                 rows = tree_samples(spark, indexed, plan.n_trees, min(plan.rows_per_tree, pool_n) if not resolve_replacement(c.replacement, n, self.classification) else plan.rows_per_tree, pool_n, c.seed or 0, resolve_replacement(c.replacement, n, self.classification))
-                nodes = rows.groupBy("tree_id").applyInPandas(lambda t, c=c: _tree(t, width, len(classes) if classes else 0, c), _NODES).toPandas()
+                nodes = rows.groupBy("tree_id").applyInPandas(_grower(width, len(classes) if classes else 0, c), _NODES).toPandas()
                 model = ForestModel(spark, c, encoder, nodes, classes, label)
                 if c.oob:
                     model.oob_ = self._oob(model, indexed, rows, width)

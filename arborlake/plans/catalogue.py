@@ -1,10 +1,8 @@
-"""Registered queries of the engine, each with the SQL that gives the same rows."""
+"""All registered queries of the engine, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from arborlake.plans import queries_analysis, queries_encode, queries_sampling, queries_splits, queries_trees
+from arborlake.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "queries_analysis", "queries_encode", "queries_sampling", "queries_splits", "queries_trees"]
