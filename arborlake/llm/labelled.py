@@ -28,16 +28,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_o
     return docs.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(text_column, F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
 
 
-def gathered(rows: DataFrame, features: Callable[[list[str]], list], kind: pa.DataType, ddl: str) -> pa.Table:
-    """(_id, label, f) of a bounded sample, by id: f is what features gives for the text."""
+def gathered(rows: DataFrame, features: dict[str, tuple[Callable[[list[str]], pa.Array], str]]) -> pa.Table:
+    """(_id, label and, by name, what each function of features gives for the texts) of a bounded sample, by id."""
     importable(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array(features(batch.column("text").to_pylist()), kind)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), made], ["_id", "label", "f"])
+            texts = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), *(f(texts) for f, _ in features.values())], ["_id", "label", *features])
 
-    return rows.mapInArrow(run, f"_id long, label int, f {ddl}").toArrow().sort_by("_id")
+    schema = ", ".join(["_id long, label int", *(f"{name} {kind}" for name, (_, kind) in features.items())])
+    return rows.mapInArrow(run, schema).toArrow().sort_by("_id")
 
 
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], *, folds: int, held_out: int, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -46,28 +46,38 @@ def features(text: str) -> list[int]:
     return sorted(_hashed(set(_WORD.findall(text.lower()))))
 
 
-def with_counterfactual(text: str) -> list[list[int]]:
-    """[features of the text, features of its counterfactual], the second empty without identity terms."""
+def counterfactual(text: str) -> list[int]:
+    """Features of the text with its identity terms swapped; none without such terms."""
     words = set(_WORD.findall(text.lower()))
     swapped = {_NEXT.get(w, w) for w in words}
-    return [sorted(_hashed(words)), sorted(_hashed(swapped)) if swapped != words else []]
+    return sorted(_hashed(swapped)) if swapped != words else []
+
+
+def _flat(lists: pa.ListArray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of each entry of these rows' lists."""
+    offsets = lists.offsets.to_numpy()[first : last + 1].astype(np.int64)
+    rows = np.repeat(np.arange(first, first + len(offsets) - 1), np.diff(offsets))
+    return rows, lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
 
 
 class Model:
     """Logistic regression on chosen hashed features; weight is an array over the whole hash space."""
 
-    def __init__(self, penalty: float = 10.0, most: int = FEATURES, l2: float = 1e-3, steps: int = 300) -> None:
+    def __init__(self, penalty: float = 10.0, most: int = FEATURES, l2: float = 1e-4, steps: int = 300) -> None:
         self.penalty, self.most, self.l2, self.steps = penalty, most, l2, steps
         self.weight, self.bias = np.zeros(SPACE, np.float32), 0.0
 
-    def fit(self, found: list[list[int]], swapped: list[list[int]], y: np.ndarray) -> Model:
+    def fit(self, found: pa.ListArray, swapped: pa.ListArray, y: np.ndarray) -> Model:
+        """Learns from each text's features and its counterfactual's (empty: none), as lists of int32."""
         n, positive = len(y), float(y.sum())
         self.bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
         if not 0 < positive < n:
             return self
-        row = np.repeat(np.arange(n), [len(f) for f in found])
-        flat = np.fromiter((i for f in found for i in f), np.int64, len(row))
-        a, c = np.bincount(flat, y[row], SPACE), np.bincount(flat, minlength=SPACE)
+        a, c = np.zeros(SPACE), np.zeros(SPACE)
+        for some in range(0, n, 500):
+            row, flat = _flat(found, some, some + 500)
+            a += np.bincount(flat, y[row], SPACE)
+            c += np.bincount(flat, minlength=SPACE)
         expected = c * positive / n
         strength = np.where(c >= 5, np.abs(a - expected) / np.sqrt(np.maximum(expected * (1 - positive / n), 1e-9)), 0)
         order = np.argsort(-strength, kind="stable")[: self.most]
@@ -76,16 +86,17 @@ class Model:
         place = np.full(SPACE, -1)
         place[chosen] = np.arange(len(chosen))
 
-        def dense(lists: list[list[int]], rows: list[int]) -> np.ndarray:
-            out = np.zeros((len(rows), len(chosen)), np.float32)
-            for k, r in enumerate(rows):
-                at = place[np.array(lists[r], np.int64)]
-                out[k, at[at >= 0]] = 1
+        def dense(lists: pa.ListArray) -> np.ndarray:
+            out = np.zeros((n, len(chosen)), np.float32)
+            for some in range(0, n, 500):
+                row, flat = _flat(lists, some, some + 500)
+                at = place[flat]
+                out[row[at >= 0], at[at >= 0]] = 1
             return out
 
-        x = dense(found, range(n))
-        pairs = [r for r in range(n) if swapped[r]]
-        change = x[pairs] - dense(swapped, pairs)
+        x = dense(found)
+        pairs = np.nonzero(np.diff(swapped.offsets.to_numpy()) > 0)[0]
+        change = x[pairs] - dense(swapped)[pairs] if len(pairs) else x[:0]
         importance = np.where(y > 0, min(5.0, (n - positive) / positive), 1.0).astype(np.float32)
         importance /= importance.sum()
         w, b = np.zeros(len(chosen), np.float32), np.float32(self.bias)
@@ -107,16 +118,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(logit, np.float64), -50, 50)))
 
 
-def _both(texts: list[str]) -> list[list[list[int]]]:
-    return [with_counterfactual(t) for t in texts]
+def _lists(found: list[list[int]]) -> pa.ListArray:
+    return pa.array(found, pa.list_(pa.int32()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = SAMPLE, penalty: float = 10.0, **columns) -> Model:
     """Learns from at most ``bound`` labelled documents outside the held-out fold; without both labels: their share."""
     rows = labelled.sample(docs, labels, label, folds=FOLDS, held_out=HELD_OUT, bound=bound, **columns)
-    table = labelled.gathered(rows, _both, pa.list_(pa.list_(pa.int32())), "array<array<int>>")
-    both = table["f"].to_pylist()
-    return Model(penalty).fit([f[0] for f in both], [f[1] for f in both], table["label"].to_numpy().astype(np.float32))
+    table = labelled.gathered(rows, {"f": (lambda texts: _lists([features(t) for t in texts]), "array<int>"), "g": (lambda texts: _lists([counterfactual(t) for t in texts]), "array<int>")})
+    found, swapped = (table[c].combine_chunks() if table.num_rows else _lists([]) for c in ("f", "g"))
+    return Model(penalty).fit(found, swapped, table["label"].to_numpy().astype(np.float32))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = SAMPLE, penalty: float = 10.0, **columns) -> DataFrame:
