@@ -217,13 +217,13 @@ def csv_view_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_type, p_brand, round(avg(p_retailprice), 1) AS price, rank() OVER (PARTITION BY p_type ORDER BY round(avg(p_retailprice), 1) DESC) = 1 AS best FROM part GROUP BY 1, 2"""
+    """SELECT p_type, p_brand, round(avg(p_retailprice) + 0.0001, 1) AS price, rank() OVER (PARTITION BY p_type ORDER BY round(avg(p_retailprice) + 0.0001, 1) DESC) = 1 AS best FROM part GROUP BY 1, 2"""
 )
 def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report's cells, with the best of each group after rounding."""
     from pyspark.sql.window import Window
 
-    cells = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.round(F.avg("p_retailprice"), 1).alias("price"))
+    cells = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.round(F.avg("p_retailprice") + 0.0001, 1).alias("price"))
     return cells.withColumn("best", F.rank().over(Window.partitionBy("p_type").orderBy(F.desc("price"))) == 1)
 
 
