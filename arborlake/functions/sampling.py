@@ -45,6 +45,20 @@ def split(df: DataFrame, share: float, seed: int, key: str) -> tuple[DataFrame,
     return df.filter(below), df.filter(~below)
 
 
+def split_final_rows(df: DataFrame, n: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(all but the last n rows, the last n rows) in a total order, which n bounds: only the cut is sorted out."""
+    last = df.orderBy(*(F.desc(c) for c in order)).limit(n).agg(F.min(F.struct(*order))).first()[0]
+    if last is None:
+        return df, df
+    cut = F.struct(*(F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order))
+    return df.filter(F.struct(*order) < cut), df.filter(F.struct(*order) >= cut)
+
+
+def take_rows(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df's rows whose key is in keys."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
+
+
 def dense_index(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
     """df with idx, 0 to n - 1 without gaps; counts of ``buckets`` hash buckets are all that meets in one place."""
     bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))

@@ -57,6 +57,20 @@ def forest_suite(base: Config, axes: dict[str, list]) -> list[Sweep]:
     return out
 
 
+def random_suite(base: Config, axes: dict[str, list], n: int, seed: int = 42) -> list[Sweep]:
+    """The base and n distinct joint changes, each axis drawn at random; fewer if there are fewer."""
+    import random
+
+    rng, out, seen = random.Random(seed), [Sweep("defaults", {}, base)], [base]
+    for _ in range(20 * n):
+        changes = {axis: rng.choice(values) for axis, values in axes.items()}
+        config = base.but(**changes).checked()
+        if config not in seen and len(out) <= n:
+            seen.append(config)
+            out.append(Sweep(",".join(f"{k}={v}" for k, v in changes.items()), changes, config))
+    return out
+
+
 def screen(estimator, df: DataFrame, label: str, suite: list[Sweep], *, key: str | None = None) -> DataFrame:
     """(name, loss, relative, nodes, depth): out-of-bag losses of small forests on one pool and encoding."""
     configs = {i: s.config.but(n_trees=SCREEN_TREES, oob=True) for i, s in enumerate(suite)}

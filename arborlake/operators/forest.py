@@ -102,6 +102,24 @@ class Encoder:
             out.append(positions(f.values or [])(value) if f.kind == "lexical" else value)
         return out
 
+    def display(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """keep, then each feature as people read it: texts, whole numbers as such, names of a bundle's members."""
+        shown = []
+        for f in self.features:
+            value = self.raw(df, f)
+            if f.kind == "bundle":
+                value = F.element_at(F.array(F.lit("(none)"), *map(F.lit, f.sources)), value.cast("int") + 1)
+            elif f.kind == "date" or f.all_int:
+                value = value.cast("long")
+            shown.append(value.alias(f.name))
+        return df.select(*keep, *shown)
+
+    def column_info(self, spark: SparkSession) -> DataFrame:
+        """(column, kind, cardinality, had_missing, all_int, features) for each raw column."""
+        of = {c: [f.name for f in self.features if c in f.sources] for c in self.columns}
+        rows = [(c, "date" if c in self.date_columns else self.profile[c]["kind"], int(self.profile[c]["distinct_values"]), self.profile[c]["missing"] > 0, self.profile[c]["all_int"], ",".join(of[c])) for c in self.columns]
+        return spark.createDataFrame(rows, "column string, kind string, cardinality long, had_missing boolean, all_int boolean, features string")
+
     def to_json(self) -> str:
         return json.dumps({"columns": self.columns, "features": [asdict(f) for f in self.features], "profile": self.profile, "markers": [[k, v] for k, v in self.markers.items()], "dates": self.date_columns, "allow_new_missing": self.allow_new_missing})
 

@@ -188,6 +188,12 @@ def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.spearman(table(spark, sf_dir, "lineitem", *_LINE), _LINE).withColumn("correlation", F.round("correlation", 6))
 
 
+@query("SELECT " + ", ".join(f"round({_rank(c).rsplit(' AS ', 1)[0]}, 1) AS {c}" for c in ("s_acctbal", "s_nationkey")) + " FROM supplier")
+def average_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analysis.average_ranks(table(spark, sf_dir, "supplier"), ["s_acctbal", "s_nationkey"])
+    return found.select(*(F.round(c, 1).alias(c) for c in found.columns))
+
+
 @query()
 def linkage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = table(spark, sf_dir, "lineitem").withColumn("_key", F.concat_ws("-", "l_orderkey", "l_linenumber")).withColumn("l_quantity_copy", F.col("l_quantity") * 2)
@@ -291,3 +297,28 @@ def feature_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.feature_dependence(supplier, ["s_nationkey", "s_acctbal", "copy"], "s_suppkey", n_samples=None, n_trees=8)
 
 
+@query()
+def random_joint_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suite = auto.random_suite(Config(seed=1), {"min_node_size": [4, 8, 16], "max_features": [0.5, 0.9], "max_node_samples": [160, 320]}, 6)
+    return spark.createDataFrame([(s.name, s.config.min_node_size, float(s.config.max_features), s.config.max_node_samples) for s in suite], "name string, min_node_size int, max_features double, max_node_samples int")
+
+
+@query()
+def column_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an encoder learned of each column of orders: kinds, dates, cardinalities."""
+    from arborlake.operators.forest import Encoder
+
+    orders = table(spark, sf_dir, "orders").withColumn("o_clerk", F.lit("one"))
+    return Encoder.fit(orders, ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "o_clerk"], Config(seed=1), "o_orderkey").column_info(spark)
+
+
+@query()
+def ml_comparison_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputed, one-hot and target-encoded features for comparing with other learners."""
+    from pyspark.ml.functions import vector_to_array
+
+    from arborlake.operators.compare import comparison_pipeline
+
+    orders = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")))
+    made = comparison_pipeline(orders, ["o_totalprice"], ["o_orderpriority", "o_orderstatus"], "o_custkey", onehot_max=3).fit(orders).transform(orders)
+    return made.select("o_orderkey", F.size(vector_to_array("features")).alias("width"), F.round(vector_to_array("features")[0], 4).alias("first"))

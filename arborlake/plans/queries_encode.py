@@ -200,3 +200,40 @@ def convert_numeric_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_with_referential_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey")
     return join_many_to_one(table(spark, sf_dir, "nation"), region, ["n_regionkey"]).select("n_name", "r_name")
+
+
+@query(f"""WITH f AS ({_FLAGS_SQL}) SELECT unnest(['status_F', 'status_O', 'status_P', 'urgent']) AS flag""")
+def binary_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = _flags(spark, sf_dir).withColumn("all_zero", F.lit(0)).withColumn("three", F.col("o_orderkey") % 3)
+    return spark.createDataFrame([(c,) for c in encode.binary_columns(flags, [*_NAMES, "all_zero", "three"])], "flag string")
+
+
+@query(
+    f"""WITH f AS ({_FLAGS_SQL}), c AS (SELECT CASE WHEN status_F = 1 THEN 1 WHEN status_O = 1 THEN 2 WHEN status_P = 1 THEN 3 ELSE 0 END AS code FROM f),
+    g AS (SELECT code, count(*) AS n FROM c GROUP BY 1), r AS (SELECT code, sum(n) OVER (ORDER BY code) AS upto, sum(n) OVER () AS total FROM g)
+    SELECT CAST(min(code) AS INTEGER) AS median FROM r WHERE upto > total // 2"""
+)
+def bundle_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _flags(spark, sf_dir).select(encode.bundle_code([F.col(c) for c in _NAMES[:3]]).alias("code"))
+    return encode.upper_median(encode.dictionary(codes, "code"))
+
+
+@query(
+    """SELECT p_partkey, p_type, CAST(p_size AS BIGINT) AS p_size, CASE WHEN p_size % 2 = 1 THEN 'odd_1' ELSE 'odd_2' END AS odd FROM part"""
+)
+def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborlake.operators.forest import Encoder, Feature
+
+    part = table(spark, sf_dir, "part").withColumn("odd_1", F.col("p_size") % 2).withColumn("odd_2", 1 - F.col("p_size") % 2)
+    features = [Feature("p_type", "lexical", ["p_type"], []), Feature("p_size", "numeric", ["p_size"], all_int=True), Feature("odd", "bundle", ["odd_1", "odd_2"])]
+    return Encoder(["p_type", "p_size", "odd_1", "odd_2"], features, {}, {}, {}).display(part, ["p_partkey"])
+
+
+@query(
+    """SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean_price, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS ordinal FROM orders GROUP BY 1"""
+)
+def comparison_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborlake.operators.compare import ordinal, target_means
+
+    orders = table(spark, sf_dir, "orders")
+    return target_means(orders, "o_orderpriority", "o_totalprice").join(ordinal(orders, "o_orderpriority"), "o_orderpriority").select("o_orderpriority", F.round("mean", 4).alias("mean_price"), "ordinal")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arborlake.functions.sampling import bernoulli, hash_key, hash_number, permuted, sample_rows, split, tree_draws, tree_samples
+from arborlake.functions.sampling import bernoulli, hash_key, hash_number, permuted, sample_rows, split, split_final_rows, take_rows, tree_draws, tree_samples
 from arborlake.plans.config import Config, features_per_node, plan_fit, resolve_replacement
 from arborlake.plans.registry import query, table
 
@@ -151,3 +151,25 @@ def random_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = part.withColumn("at", F.row_number().over(Window.orderBy("p_partkey")) - 1)
     cut = F.when(F.col("feature") == "p_size", F.col("p_size").cast("double")).otherwise(F.col("p_retailprice"))
     return draws.join(placed, "at").select("feature", cut.alias("cut")).dropDuplicates(["feature", "cut"])
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) <= 1200 AS validation FROM orders)
+    SELECT validation, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM o GROUP BY 1"""
+)
+def split_last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, valid = split_final_rows(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"), 1200, ["o_orderdate", "o_orderkey"])
+    both = train.withColumn("validation", F.lit(False)).unionByName(valid.withColumn("validation", F.lit(True)))
+    return both.groupBy("validation").agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("long").alias("keys"))
+
+
+@query("SELECT year(o_orderdate) = 1996 AND month(o_orderdate) = 12 AS validation, count(*) AS n FROM orders GROUP BY 1")
+def split_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = (F.year("o_orderdate") == 1996) & (F.month("o_orderdate") == 12)
+    return table(spark, sf_dir, "orders").groupBy(held.alias("validation")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def row_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return take_rows(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity"), keys, "l_orderkey")

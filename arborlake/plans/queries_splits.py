@@ -171,17 +171,22 @@ def _term(m: str) -> str:
     return f"CASE WHEN {m} > 1e-9 THEN {m} * ln({m}) ELSE 0.0 END"
 
 
-_CLASS_BEST = f"""WITH {_WEIGHTS}, long AS ({_ORDERS_LONG}),
+def class_best_sql(long: str) -> str:
+    """CTEs long, own, grid, hist, run, cand, sums, scored and best: the best class split of each node."""
+    return f"""long AS ({long}),
     own AS (SELECT node, feature, value, label, CAST(count(*) AS DOUBLE) AS n FROM long GROUP BY ALL),
     grid AS (SELECT DISTINCT node, feature, value, w.label, weight FROM own, w),
     hist AS (SELECT concat(grid.node, ':', grid.label) AS nl, grid.node, grid.label, grid.feature, grid.value, coalesce(n, 0.0) AS n, coalesce(n, 0.0) * weight AS m FROM grid LEFT JOIN own USING (node, feature, value, label)),
     run AS ({running_sql("nl, node, label", ("n", "m"))}),
-    cand AS ({candidates_sql("nl, node, label", ("n", "m")).replace("mn > 0", "mn > 0")}),
+    cand AS ({candidates_sql("nl, node, label", ("n", "m"))}),
     sums AS (SELECT node, feature, cut, kind, kind_order, sum(ln) AS ln, sum(tn) AS tn, sum(lm) AS ml, sum(tm) AS mt, sum({_term("lm")}) AS el, sum({_term("(tm - lm)")}) AS er, sum({_term("tm")}) AS et FROM cand GROUP BY ALL),
     scored AS (SELECT *, (el - {_term("ml")} + er - {_term("(mt - ml)")}) / mt AS score, (et - {_term("mt")}) / mt AS parent FROM sums WHERE ln > 0 AND ln < tn),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(score, 9) DESC, feature, kind_order, cut) AS pl FROM scored WHERE round(score, 9) > round(parent, 9)) WHERE pl = 1)"""
 
 
+_CLASS_BEST = f"WITH {_WEIGHTS}, {class_best_sql(_ORDERS_LONG)}"
+
+
 @query(f"{_CLASS_BEST} SELECT node, {_SHOWN} FROM best")
 def best_split_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = H.class_weights(table(spark, sf_dir, "orders").withColumn("label", F.col("o_orderstatus")), "label", 0.75).select("label", "weight")

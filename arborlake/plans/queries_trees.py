@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from arborlake.functions.sampling import hash_key, hash_number
 from arborlake.operators.forest import Encoder, Feature, ForestModel
 from arborlake.plans.config import Config
-from arborlake.plans.queries_splits import _SHOWN, FEATURES, best_sql, lineitem_features
+from arborlake.plans.queries_splits import _ORDERS, _ORDERS_LONG, _SHOWN, _WEIGHTS, FEATURES, best_sql, class_best_sql, lineitem_features
 from arborlake.plans.registry import query, table
 
 # tree, node, feature (-1: leaf), kind (0: <=, 1: <= with missing left, 2: =), cut, missing right, left child, rows, gain, depth, value
@@ -169,14 +169,20 @@ def combine_oob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("o_orderkey").agg(F.round(F.sum(F.col("mean") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.sum("n").alias("n"))
 
 
+def _again(ctes: str) -> str:
+    """The CTEs of a level under other names."""
+    for name in ("long", "own", "grid", "hist", "run", "cand", "sums", "scored", "best"):
+        ctes = ctes.replace(f"{name} AS (", f"{name}2 AS (").replace(f"FROM {name} ", f"FROM {name}2 ").replace(f"FROM {name})", f"FROM {name}2)").replace(f"FROM {name},", f"FROM {name}2,").replace(f"JOIN {name} ", f"JOIN {name}2 ").replace(f"{name}.", f"{name}2.")
+    return ctes
+
+
 def _grown_sql() -> str:
     """A tree of depth 2: the root's split, then both children's."""
     first = best_sql(" UNION ALL ".join(f"SELECT CAST(0 AS BIGINT) AS node, l_quantity AS y, '{n}' AS feature, CAST({s} AS DOUBLE) AS value FROM lineitem" for n, (s, _) in FEATURES.items()), "node")
     value = "CASE feature " + " ".join(f"WHEN '{n}' THEN CAST({s} AS DOUBLE)" for n, (s, _) in FEATURES.items()) + " END"
     node = f"CASE WHEN ({value}) IS NULL THEN (CASE WHEN kind = 'le_missing_left' THEN 1 ELSE 2 END) WHEN kind = 'eq' THEN (CASE WHEN ({value}) = cut THEN 1 ELSE 2 END) WHEN ({value}) <= cut THEN 1 ELSE 2 END"
     second = best_sql(" UNION ALL ".join(f"SELECT node, l_quantity AS y, '{n}' AS feature, CAST({s} AS DOUBLE) AS value FROM moved" for n, (s, _) in FEATURES.items()), "node")
-    for name in ("long", "hist", "run", "cand", "scored", "best"):
-        second = second.replace(f"{name} AS (", f"{name}2 AS (").replace(f"FROM {name} ", f"FROM {name}2 ").replace(f"FROM {name})", f"FROM {name}2)")
+    second = _again(second)
     return f"WITH {first}, moved AS (SELECT l.*, CAST({node} AS BIGINT) AS node FROM lineitem l, (SELECT feature, kind, cut FROM best)), {second} SELECT node, {_SHOWN} FROM best UNION ALL SELECT node, {_SHOWN} FROM best2"
 
 
@@ -186,3 +192,18 @@ def tree_depth2_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arborlake.operators.grow import grow_levels
 
     return grow_levels(table(spark, sf_dir, "lineitem"), lineitem_features(), "l_quantity", depth=2)
+
+
+def _grown_class_sql() -> str:
+    value = "CASE feature " + " ".join(f"WHEN '{n}' THEN CAST({q} AS DOUBLE)" for n, (q, _) in _ORDERS.items()) + " END"
+    node = f"CASE WHEN kind = 'eq' THEN (CASE WHEN ({value}) = cut THEN 1 ELSE 2 END) WHEN ({value}) <= cut THEN 1 ELSE 2 END"
+    long = " UNION ALL ".join(f"SELECT node, o_orderstatus AS label, '{n}' AS feature, CAST({q} AS DOUBLE) AS value FROM moved" for n, (q, _) in _ORDERS.items())
+    moved = f"moved AS (SELECT o.*, CAST({node} AS BIGINT) AS node FROM orders o, (SELECT feature, kind, cut FROM best))"
+    return f"WITH {_WEIGHTS}, {class_best_sql(_ORDERS_LONG)}, {moved}, {_again(class_best_sql(long))} SELECT node, {_SHOWN} FROM best UNION ALL SELECT node, {_SHOWN} FROM best2"
+
+
+@query(_grown_class_sql())
+def tree_depth2_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborlake.operators.grow import grow_class_levels
+
+    return grow_class_levels(table(spark, sf_dir, "orders"), {n: c() for n, (_, c) in _ORDERS.items()}, "o_orderstatus", depth=2)
