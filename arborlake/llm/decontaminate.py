@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arborlake.llm.shared import stored
+from arborlake.llm.shared import stored, tasks_for
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words in a lower-cased text: ASCII that is neither a digit nor a small letter.
@@ -68,21 +68,27 @@ def alignments(docs: DataFrame, items: DataFrame, window: int, *, doc_columns: d
     return found.join(chosen, "word").select("k", "h", "item", "ih", (F.col("pos") - F.col("i")).alias("delta")).distinct(), terms
 
 
-def verified(docs: DataFrame, places: DataFrame, terms: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(k, h, n_words, hits) for each row of docs; hits: the item terms found at their adjusted positions."""
-    wanted = places.join(terms, ["item", "ih"]).filter("delta + i >= 0")
-    wanted = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("item", "ih", "delta", "i", "n", "word")).alias("wanted"))
+def verified(docs: DataFrame, places: DataFrame, terms: DataFrame, window: int, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(k, h, n_words, hits) for each row of docs; hits: for each place the item terms found at their positions.
+
+    Places travel with their item's words as one string, which compresses well; places where fewer terms
+    than a window's are found are dropped here.
+    """
+    phrases = terms.groupBy("item", "ih").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x.word), " ").alias("phrase"))
+    wanted = places.join(phrases, ["item", "ih"]).groupBy("k", "h").agg(F.collect_list(F.struct("item", "ih", "delta", "phrase")).alias("wanted"))
     left, right = keyed(docs, id_column, text_column).alias("d"), wanted.alias("w")
     both = left.join(right, F.expr("d.k <=> w.k AND d.h = w.h"), "left").select("d.k", "d.h", "d.text", "w.wanted")
     words = both.withColumn("words", lowered_words(F.col("text")))
-    found = F.expr("transform(filter(wanted, x -> x.delta + x.i < size(words) AND words[x.delta + x.i] = x.word), x -> struct(x.item AS item, x.ih AS ih, x.delta AS delta, x.i AS i, x.n AS n))")
-    return words.select("k", "h", n_words(F.col("words")).alias("n_words"), found.alias("hits"))
+    at = "CASE WHEN x.delta + i BETWEEN 0 AND size(words) - 1 AND words[x.delta + i] = t THEN i END"
+    found = F.expr(f"transform(wanted, x -> struct(x.item AS item, x.ih AS ih, x.delta AS delta, size(split(x.phrase, ' ')) AS n, array_compact(transform(split(x.phrase, ' '), (t, i) -> {at})) AS terms))")
+    hits = F.filter(found, lambda x: F.size(x.terms) >= F.least(F.lit(window), x.n))
+    return words.select("k", "h", n_words(F.col("words")).alias("n_words"), hits.alias("hits"))
 
 
 def exact_runs(hits: DataFrame, window: int) -> DataFrame:
     """(k, h, item, begin, length): maximal runs of matched terms that hold a window."""
     place = ["k", "h", "item", "ih", "delta"]
-    rows = hits.select("k", "h", F.explode("hits").alias("x")).select("k", "h", "x.*").distinct()
+    rows = hits.select("k", "h", F.explode("hits").alias("x")).select("k", "h", "x.item", "x.ih", "x.delta", "x.n", F.explode("x.terms").alias("i")).distinct()
     rows = rows.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*place).orderBy("i")))
     runs = rows.groupBy(*place, "run").agg(F.min("i").alias("i"), F.count("*").alias("length"), F.first("n").alias("n"))
     return runs.filter(F.col("length") >= F.least(F.lit(window), F.col("n"))).select("k", "h", "item", (F.col("delta") + F.col("i")).alias("begin"), "length")
@@ -99,7 +105,7 @@ def contamination(
     """
     columns = {"id_column": id_column, "text_column": text_column}
     places, terms = alignments(docs, items, window, doc_columns=columns, item_columns={"id_column": item_id, "text_column": item_text})
-    checked = stored(verified(docs, places, terms, **columns), "verified")
+    checked = stored(verified(docs, places, terms, window, **columns).coalesce(tasks_for(docs)), "verified")
     runs = stored(exact_runs(checked.filter(F.size("hits") > 0), window), "runs")
     positions = runs.select("k", "h", F.explode(F.expr("sequence(begin, begin + CAST(length AS INT) - 1)")).alias("pos")).distinct()
     hit = positions.groupBy("k", "h").agg(F.count("*").alias("n_hit"))
@@ -121,7 +127,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10, **column
     """(k, item, begin, length): where windows of the items lie in the documents, as word positions."""
     doc_columns = {"id_column": columns.get("id_column", "doc_id"), "text_column": columns.get("text_column", "text")}
     places, terms = alignments(docs, items, window, doc_columns=doc_columns, item_columns={"id_column": columns.get("item_id", "item_id"), "text_column": columns.get("item_text", "text")})
-    return exact_runs(verified(docs, places, terms, **doc_columns), window).select("k", "item", "begin", "length")
+    return exact_runs(verified(docs, places, terms, window, **doc_columns), window).select("k", "item", "begin", "length")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int, *, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

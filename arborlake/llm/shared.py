@@ -46,6 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(source: DataFrame, megabytes: int = 64) -> int:
+    """How many tasks, and so files, a pass over source should have: one for so many megabytes as stored.
+
+    Twice the session's cores at least. For coalesce(): many small partitions, of the input or of a shuffle,
+    then do not make as many small files.
+    """
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(2**31 - 1, max(2 * source.sparkSession.sparkContext.defaultParallelism, -(-size // (megabytes << 20))))  # an unknown size is a very large one
+
+
 def pieces(texts: list[str], limit: int) -> Iterator[slice]:
     """Slices of texts with about limit characters at most, or one text."""
     start = held = 0
