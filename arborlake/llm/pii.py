@@ -99,7 +99,7 @@ def scanned(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     return stored(found.withColumn("near", near).drop("text"), "scanned")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, *, text_column: str = "text", support: int = 3, threshold: float = 0.8) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, *, text_column: str = "text", support: int = 3, threshold: float = 0.95) -> DataFrame:
     """(entity, term, disclosure) of the terms that give an entity away, from counts over all documents."""
     texts = found.filter(F.size("base") > 0).select("h", "base", "near")
     near = texts.select("h", F.explode("near").alias("x")).select("h", "x.entity", "x.term").distinct()
@@ -127,7 +127,7 @@ def _with_terms(found: DataFrame, pairs: DataFrame, remove: float) -> DataFrame:
     return both.withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", free)))).drop("added", "near")
 
 
-def find_personal_data(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", context: int = 48, support: int = 3, threshold: float = 0.8) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", context: int = 48, support: int = 3, threshold: float = 0.95) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) for each row of docs.
 
     Null and empty texts have no spans. Rows that repeat an id with its text each get the same result; a null
@@ -141,7 +141,7 @@ def find_personal_data(docs: DataFrame, *, id_column: str = "doc_id", text_colum
     return out.select(F.col("k").alias(id_column), *counts[:4], F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), counts[4])
 
 
-def sanitise(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", context: int = 48, support: int = 3, threshold: float = 0.8, remove: float = 0.999) -> DataFrame:
+def sanitise(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", context: int = 48, support: int = 3, threshold: float = 0.95, remove: float = 0.999) -> DataFrame:
     """docs with every span of their texts replaced: [EMAIL] and so on, [TERM], or nothing for removed terms.
 
     All rows and columns stay, null texts stay null. Overlapping spans become one, named by the first.
