@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import importable, new_path
+from arborlake.llm.shared import importable, new_path, tasks_for
 
 #: The field names that versions 1 and 2 define.
 FIELDS = {
@@ -69,7 +69,7 @@ def write_arc(pages: DataFrame, path: str, *, uri: str, html: str, version: str)
         for v in sorted(held):
             yield made(v)
 
-    rows = pages.select(F.col(uri), F.col(html), F.col(version)).mapInArrow(run, "value binary")
+    rows = pages.select(F.col(uri), F.col(html), F.col(version)).coalesce(tasks_for(pages, 32)).mapInArrow(run, "value binary")
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", 16).text(path)
 
 
@@ -158,7 +158,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least: int =
     keys = keys.withColumn("rank", F.expr(rank))
     best = F.max(F.when(F.col("rank").isNotNull(), F.struct("rank", "target_uri", "date", "file", "place"))).alias("best")
     first = keys.groupBy("payload_digest").agg(best, F.count("*").alias("copies")).filter("copies > 1 AND best IS NOT NULL").select(F.col("payload_digest").alias("_digest"), "best")
-    rows = _arc_rows(spark, arc_path, payloads=True).withColumn("rank", F.expr(rank))
+    rows, tasks = _arc_rows(spark, arc_path, payloads=True).withColumn("rank", F.expr(rank)), tasks_for(spark.read.format("binaryFile").load(arc_path), 32)
     both = rows.join(first, (F.col("payload_digest") == F.col("_digest")) & (F.col("kind") == "response") & (F.col("payload_bytes") >= least), "left")
     both = both.withColumn("type", F.expr("CASE WHEN best IS NOT NULL AND NOT (rank <=> best.rank) THEN 'revisit' ELSE kind END"))
     info = "concat('software: arborlake\\r\\nformat: WARC File Format 1.1\\r\\nsource: ARC version ', version, '\\r\\n')"
@@ -180,7 +180,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least: int =
         ]
     )
     record = both.select(F.expr(f"CAST(concat(CAST(concat({header}) AS BINARY), block) AS STRING)").alias("value"))
-    record.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(warc_path)
+    record.coalesce(tasks).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(warc_path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
