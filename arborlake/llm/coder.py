@@ -22,16 +22,18 @@ _U = np.uint64
 _TOP, _BOT, _16, _48 = _U(1 << 48), _U(1 << 44), _U(16), _U(48)
 _SHARES = 1 << 12
 _GAIN = 8
+#: Ids that order 0 may lag behind at most; at first it lags less.
+_LAG = 32_768
 
 
 class _Model:
     def __init__(self, size: int, lanes: int) -> None:
         self.counts = np.ones(size, np.int64)
         self.cumulated = np.arange(size + 1)
-        self.fresh = np.zeros(size, np.int64)
-        self.waiting = 0
-        self.one, self.sure1 = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        self.two, self.sure2 = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.fresh: list[np.ndarray] = []
+        self.waiting = self.learned = 0
+        self.one, self.sure1 = np.zeros(size, np.int32), np.zeros(size, np.uint8)
+        self.two, self.sure2 = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.uint8)
         self.seen = np.tile(np.array([2, 1, 2]), (256, 1))
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self._share()
@@ -47,7 +49,7 @@ class _Model:
         self.at1 = self.last[:n]
         self.at2 = (self.last[:n] * 40503 ^ self.before[:n] * 60493) & 0x3FFFF
         self.guess1, self.guess2 = self.one[self.at1], self.two[self.at2]
-        self.by = self.sure2[self.at2] << 4 | self.sure1[self.at1]
+        self.by = (self.sure2[self.at2] << 4 | self.sure1[self.at1]).astype(np.int64)
         self.total = int(self.cumulated[-1])
         self.f2, self.f1, self.f0 = self.a[self.by], self.b[self.by], self.c[self.by]
         self.to1 = self.f2 * self.total
@@ -77,12 +79,12 @@ class _Model:
         n = len(ids)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
-        np.add.at(self.fresh, ids, _GAIN)
+        self.fresh.append(ids.copy())
         self.waiting += n
-        if self.waiting >= 2048:
-            self.counts += self.fresh
-            self.fresh[:] = 0
-            self.waiting = 0
+        if self.waiting >= min(_LAG, 1024 + self.learned // 8):
+            self.counts += _GAIN * np.bincount(np.concatenate(self.fresh), minlength=len(self.counts))
+            self.learned += self.waiting
+            self.fresh, self.waiting = [], 0
             np.cumsum(self.counts, out=self.cumulated[1:])
 
 
