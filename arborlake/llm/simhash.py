@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, *, id_column: str = "doc
 def keep_one(docs: DataFrame, distance: int = 4, *, id_column: str = "doc_id", **options) -> DataFrame:
     """docs without near-duplicates: of each component the row with the least id stays, whole.
 
-    Rows with a null id stay. Rows that repeat the kept id stay only once where they are equal in all columns.
+    Rows with a null id stay. An id names one document: rows that share the kept id all stay.
     """
     found = near_duplicates(docs, distance, id_column=id_column, **options)
     out = found.filter(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct()
