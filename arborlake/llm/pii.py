@@ -99,20 +99,33 @@ def scanned(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     return stored(found.withColumn("near", near).drop("text"), "scanned")
 
 
+def _holding(docs: DataFrame, terms: DataFrame, text_column: str) -> DataFrame:
+    """(term, n_t): how many different texts of docs hold each of the terms."""
+    words = docs.select(F.xxhash64(F.col(text_column)).alias("h"), F.explode(F.split(F.lower(F.col(text_column)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1)).alias("term"))
+    return words.join(terms.select("term"), "term").groupBy("term", "h").count().groupBy("term").agg(F.count("*").alias("n_t"))
+
+
 def disclosing(docs: DataFrame, found: DataFrame, *, text_column: str = "text", support: int = 3, threshold: float = 0.95) -> DataFrame:
-    """(entity, term, disclosure) of the terms that give an entity away, from counts over all documents."""
+    """(entity, term, disclosure) of the terms that give an entity away, from counts over all documents.
+
+    A disclosure of the threshold needs n(t) <= n(c,t) (N / n(c))^(1 - threshold). A sixteenth of the texts
+    gives a lower bound of n(t), which rules out common terms; n(t) of all others is counted over all texts.
+    The result is as if every term had been counted in full.
+    """
     texts = found.filter(F.size("base") > 0).select("h", "base", "near")
     near = texts.select("h", F.explode("near").alias("x")).select("h", "x.entity", "x.term").distinct()
-    pairs = stored(near.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= support), "pairs")
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= support)
     entities = texts.select("h", F.explode("base.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    words = docs.select(F.xxhash64(F.col(text_column)).alias("h"), F.explode(F.split(F.lower(F.col(text_column)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1)).alias("term"))
-    terms = words.join(pairs.select("term").distinct(), "term").groupBy("term", "h").count().groupBy("term").agg(F.count("*").alias("n_t"))
     total = found.select("h").distinct().agg(F.count("*").alias("n"))
-    scored = pairs.join(entities, "entity").join(terms, "term").crossJoin(total)
+    known = stored(pairs.join(entities, "entity").crossJoin(total), "pairs")
+    most = F.col("n_ct") * (F.col("n") / F.col("n_c")) ** (1 - threshold) * (1 + 1e-9)
+    limits = known.groupBy("term").agg(F.max(most).alias("most"))
+    least = _holding(docs.filter(F.pmod(F.xxhash64(F.col(text_column)), F.lit(16)) == 0), limits, text_column)
+    rare = stored(limits.join(least, "term", "left").filter(F.coalesce("n_t", F.lit(0)) <= F.col("most")).select("term"), "rare-terms")
     information = F.log(F.col("n") / F.col("n_c"))
     pmi = F.log(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t")))
-    value = F.when(information > 0, pmi / information)
-    return scored.select("entity", "term", value.alias("disclosure")).filter(F.col("disclosure") >= threshold)
+    scored = known.join(_holding(docs, rare, text_column), "term")
+    return scored.select("entity", "term", F.when(information > 0, pmi / information).alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
 
 def _with_terms(found: DataFrame, pairs: DataFrame, remove: float) -> DataFrame:
