@@ -30,29 +30,26 @@ def as_text(df: DataFrame, c: str) -> Column:
 def profile(df: DataFrame, columns: list[str], markers: dict | None = None) -> DataFrame:
     """A row for each column: kind, values, distinct values, missing values, whether all are whole, least and greatest.
 
-    One pass over the table whatever the number of columns. Kind is "numeric" where every value that is not
+    One pass over the table whatever the number of columns; values are counted before they are looked at,
+    so patterns run once for each distinct value. Kind is "numeric" where every value that is not
     missing parses as a number, "lexical" otherwise, "discarded" for columns without values or with one and
     nothing missing.
     """
     markers = markers or {}
-    aggregates = []
-    for c in columns:
-        text = without_marker(as_text(df, c), markers.get(c, ""))
-        number = parsed_number(text)
-        aggregates.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(text).alias("values"),
-                F.count_distinct(text).alias("distinct_values"),
-                F.sum(text.isNull().cast("long")).alias("missing"),
-                F.coalesce(F.bool_and(text.isNull() | number.isNotNull()), F.lit(False)).alias("numeric"),
-                F.coalesce(F.bool_or(text.rlike(NON_FINITE)), F.lit(False)).alias("non_finite"),
-                F.coalesce(F.bool_and(number == F.floor(number)), F.lit(False)).alias("all_int"),
-            ).alias(c)
-        )
-    one = df.agg(F.array(*aggregates).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    texts = F.array(*(F.struct(F.lit(c).alias("column"), without_marker(as_text(df, c), markers.get(c, "")).alias("text")) for c in columns))
+    counts = df.select(F.explode(texts).alias("x")).groupBy("x.column", "x.text").agg(F.count("*").alias("n"))
+    text, number = F.col("text"), parsed_number(F.col("text"))
+    found = counts.groupBy("column").agg(
+        F.sum(F.when(text.isNotNull(), F.col("n")).otherwise(0)).alias("values"),
+        F.count(text).alias("distinct_values"),
+        F.sum(F.when(text.isNull(), F.col("n")).otherwise(0)).alias("missing"),
+        F.coalesce(F.bool_and(text.isNull() | number.isNotNull()), F.lit(False)).alias("numeric"),
+        F.coalesce(F.bool_or(text.rlike(NON_FINITE)), F.lit(False)).alias("non_finite"),
+        F.coalesce(F.bool_and(number == F.floor(number)), F.lit(False)).alias("all_int"),
+    )
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(found, "column", "left").fillna(0).fillna(False)
     kind = F.when((F.col("values") == 0) | ((F.col("distinct_values") <= 1) & (F.col("missing") == 0)), "discarded")
-    return one.withColumn("kind", kind.when(F.col("numeric"), "numeric").otherwise("lexical")).drop("numeric")
+    return every.withColumn("kind", kind.when(F.col("numeric"), "numeric").otherwise("lexical")).drop("numeric")
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
