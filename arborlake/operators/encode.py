@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from arborlake.functions.scalars import NON_FINITE, common_prefix, date_formats, parse_date, parsed_number, without_marker
+from arborlake.functions.scalars import NON_FINITE, common_prefix, date_formats, parsed_number, without_marker
 
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.DecimalType, T.DayTimeIntervalType, T.YearMonthIntervalType)
 
@@ -95,25 +95,20 @@ def text_positions(unseen: DataFrame, column: str, values: DataFrame) -> DataFra
 def detect_dates(df: DataFrame, columns: list[str], key: str, rows: int = 200, seed: int = 0) -> dict[str, str]:
     """{column: format} where every value of a bounded sample has the format; the first such format.
 
-    One aggregation tests all formats of all columns on at most ``rows`` rows.
+    One aggregation tests all formats of all columns on the different texts of at most ``rows`` rows.
     """
     from arborlake.functions.sampling import sample_rows
 
     some = sample_rows(df.select(key, *columns) if key not in columns else df.select(*columns), rows, seed, "dates", key)
     formats = date_formats()
-    tests = []
-    for i, c in enumerate(columns):
-        text = F.when(F.trim(as_text(some, c)) != "", as_text(some, c))
-        tests.append(F.count(text).alias(f"n{i}"))
-        tests += [F.bool_and(text.isNull() | parse_date(text, f).isNotNull()).alias(f"c{i}_{j}") for j, (f, _) in enumerate(formats)]
-    row = some.agg(*tests).first()
-    found = {}
-    for i, c in enumerate(columns):
-        if row[f"n{i}"]:
-            first = next((f for j, (f, _) in enumerate(formats) if row[f"c{i}_{j}"]), None)
-            if first:
-                found[c] = first
-    return found
+    texts = F.array(*(F.struct(F.lit(c).alias("column"), as_text(some, c).alias("text")) for c in columns))
+    tried = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(pattern).alias("pattern"), F.lit("%Y" in f).alias("dated")) for j, (f, pattern) in enumerate(formats)))
+    rows = some.select(F.explode(texts).alias("x")).select("x.*").filter(F.trim("text") != "").distinct().select("column", "text", F.explode(tried).alias("f"))
+    stamp = F.try_to_timestamp(F.col("text"), F.col("f.pattern"))
+    fits = stamp.isNotNull() & (~F.col("f.dated") | F.year(stamp).between(1900, 2100))
+    good = rows.groupBy("column", "f.j").agg(F.bool_and(F.coalesce(fits, F.lit(False))).alias("all")).filter("all").groupBy("column").agg(F.min("j").alias("j"))
+    first = {r["column"]: formats[r["j"]][0] for r in good.collect()}
+    return {c: first[c] for c in columns if c in first}
 
 
 def binary_columns(df: DataFrame, columns: list[str]) -> list[str]:
