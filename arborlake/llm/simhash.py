@@ -8,10 +8,15 @@ a dynamic program over expected candidate counts, which rest on the bits of all
 Equal fingerprints are one node from the start. Nodes that share a probe are compared in blocks of bounded
 size: a crowded probe is split and each pair of its blocks is a group of its own. A group gives a spanning
 forest of its links, not all pairs; the components are those of all links.
+
+``keep_one``, the pipeline's stage, asks for a Jaccard similarity of shingle sets instead. Fingerprints do not
+give that: at 0.8 they differ in 9 of 64 bits in the middle and in many more at the tail, and a distance that
+wide has no selective probes. It joins the sets themselves by prefix filtering, which loses no pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,22 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import importable, stored
+from arborlake.llm.shared import importable, pieces, stored
 
 BITS = 64
 #: Fingerprints of a block; two blocks meet in one group at most.
 BLOCK = 2048
+#: Common shingles that are told apart, at most.
+COMMON = 200_000
+#: Bits of the sketch of a shingle set.
+SKETCH = 1024
 #: Seconds that a probe row and a compared pair take, in proportion.
 PROBE, PAIR = 2e-6, 5e-9
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The 64-bit fingerprint: a bit is 1 if it is set in over half the shingles' hashes; no words: 0."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The hashes of all shingles, as they come; a text with fewer words has one of all its words, no words none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     begin = np.cumsum(size + 1) - size - 1
@@ -43,11 +52,16 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     n = max(1, len(words) - shingle + 1)
     last = end[shingle - 1 :] if len(words) >= shingle else end[-1:]
     of = xxhash.xxh64_intdigest
-    hashes = np.fromiter((of(joined[a:b], seed) for a, b in zip(begin[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((of(joined[a:b], seed) for a, b in zip(begin[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The 64-bit fingerprint: a bit is 1 if it is set in over half the shingles' hashes; no words: 0."""
+    hashes = shingle_hashes(text, shingle, seed)
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 65_536):
+    for at in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
@@ -253,11 +267,196 @@ def near_duplicates(docs: DataFrame, distance: int = 4, *, id_column: str = "doc
     return docs.join(component, "fp").select(id_column, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 4, *, id_column: str = "doc_id", **options) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least id stays, whole.
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *arrays]))
+
+
+def common_shingles(docs: DataFrame, text_column: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that several of a sixteenth of the texts hold, COMMON at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for part in pieces([t or "" for t in texts], 4_000_000):
+                found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["s"])
+
+    some = docs.filter(F.pmod(F.xxhash64(text_column), F.lit(16)) == 0).select(text_column).mapInArrow(run, "s long")
+    rows = some.groupBy("s").agg(F.count("*").alias("n")).filter("n > 3").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    s, n = rows.column("s").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def prefixes(docs: DataFrame, similarity: float, *, id_column: str, text_column: str, shingle: int) -> DataFrame:
+    """(id, h, node, n, sketch, prefix) for each row: its words' hash, and of its shingles how many, a sketch and the first.
+
+    A bit of the sketch is the parity of how many shingles fall on it, so two sets differ in as many shingles
+    at least as their sketches do in bits.
+
+    Shingles are ordered by how common they are, then by hash. Two sets of a Jaccard similarity have one of
+    the first n - ceil(similarity n) + 1 in common, whatever the order is, so no pair is lost.
+    """
+    import xxhash
+
+    common, count = common_shingles(docs, text_column, shingle)
+    of = xxhash.xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            at = 0
+            for part in pieces(texts, 4_000_000):
+                node, size, sketch, first = [], [], [], []
+                for t in texts[part]:
+                    found = np.unique(shingle_hashes(t, shingle)).view(np.int64)
+                    n = len(found)
+                    sketch.append(np.packbits(np.bincount(found & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64))
+                    if len(common) and n:
+                        near = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                        found = found[np.lexsort((found, np.where(common[near] == found, count[near], 0)))]
+                    node.append(of(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 42))
+                    size.append(n)
+                    first.append(found[: n - math.ceil(similarity * n - 1e-9) + 1])
+                many = len(node)
+                columns = [batch.column(0).slice(at, many), batch.column(1).slice(at, many), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), _lists(sketch), _lists(first)]
+                yield pa.RecordBatch.from_arrays(columns, [id_column, "h", "node", "n", "sketch", "prefix"])
+                at += many
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return docs.select(id_column, F.xxhash64(text_column).alias("h"), text_column).mapInArrow(run, f"`{id_column}` {kind}, h long, node long, n long, sketch array<long>, prefix array<long>")
+
+
+def shared(postings: DataFrame) -> DataFrame:
+    """The postings (s, node, n, pos), once each, whose shingle s another node's prefix holds too."""
+    names = ["s", "node", "n", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = [np.zeros(0, np.int64)] * 4, False
+        for batch in batches:
+            rows = [np.concatenate((k, c.to_numpy(zero_copy_only=False))) for k, c in zip(last, batch.columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            new = np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+            rows = [c[new] for c in rows]
+            same = rows[0][1:] == rows[0][:-1]
+            keep = np.append(known, same) | np.append(same, False)
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep[:-1]]) for c in rows], names)
+            last, known = [c[-1:] for c in rows], bool(keep[-1])
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names)
+
+    return postings.select(*names).repartition("s").sortWithinPartitions("s", "node").mapInArrow(run, "s long, node long, n long, pos long")
+
+
+def neighbours(postings: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes that follow each other, by size, among those with a shingle s of their prefixes in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            s, n, node = last = [np.concatenate((k, c.to_numpy(zero_copy_only=False))) for k, c in zip(last, batch.columns, strict=True)]
+            met = (s[1:] == s[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(node[:-1][met]), pa.array(node[1:][met])], ["a", "b"])
+            last = [c[-1:] for c in last]
+
+    return postings.repartition("s").sortWithinPartitions("s", "n", "node").select("s", "n", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def candidates(postings: DataFrame, similarity: float, *, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs of nodes with a shingle s in common that may be similar and whose roots differ.
+
+    A pair passes if its sizes allow the similarity and if, were s their first common shingle, the rest of
+    both sets would be long enough; at the first common one it is.
+    """
+    crowded = postings.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s", F.ceil(F.col("m") / block).cast("int").alias("m"))
+    dealt = (
+        postings.join(crowded, "s")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        .select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "pos", "root")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(len(node) - 1):
+                least = similarity / (1 + similarity) * (n[i] + n[i + 1 :]) - 1e-6
+                ok = (root[i + 1 :] != root[i]) & (np.minimum(n[i], n[i + 1 :]) >= least) & (np.minimum(n[i] - pos[i], n[i + 1 :] - pos[i + 1 :]) >= least)
+                b.append(node[i + 1 :][ok])
+                a.append(np.full(len(b[-1]), node[i]))
+            a, b = np.concatenate(a), np.concatenate(b)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        held = [np.zeros(0, np.int64)] * 7
+        for batch in batches:
+            held = [np.concatenate((k, c.to_numpy(zero_copy_only=False))) for k, c in zip(held, batch.columns, strict=True)]
+            starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:3]], axis=0)) + 1
+            for x, y in zip([0, *starts.tolist()], starts.tolist(), strict=False):
+                yield made(*(c[x:y] for c in held[3:]))
+            held = [c[starts[-1] if len(starts) else 0 :] for c in held]
+        if len(held[0]) > 1:
+            yield made(*(c for c in held[3:]))
+
+    grouped = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    return grouped.select("s", F.col("i").cast("long"), F.col("j").cast("long"), "node", "n", F.col("pos").cast("long"), "root").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, pairs: DataFrame, keys: DataFrame, similarity: float, *, id_column: str, text_column: str, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the Jaccard similarity; keys: (node, id, h, n, sketch), a row of docs for each node.
+
+    Whole sets are made of pairs that their sizes and sketches allow; none that is similar is dropped by these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
+            for part in pieces(texts, 4_000_000):
+                found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts[part]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), _lists(found)], ["node", "set"])
+                at += len(found)
+
+    of = lambda c: keys.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    differ = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
+    most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    pairs = stored(pairs.join(of("a"), "a").join(of("b"), "b").filter(F.greatest(differ, F.abs(F.col("na") - F.col("nb"))) <= most).select("a", "b"), "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(keys, "node").select("node", F.col(id_column).alias("_id"), F.col("h").alias("_h"))
+    wanted = stored(wanted, "wanted")
+    docs = docs.select(id_column, text_column)
+    texts = docs.join(wanted, docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_h"))).select("node", docs[text_column])
+    sets = stored(texts.mapInArrow(run, "node long, set array<long>"), "shingles").dropDuplicates(["node"])
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("q")), "b")
+    met = F.size(F.array_intersect("p", "q"))
+    return both.filter(met >= similarity * (F.size("p") + F.size("q") - met) - 1e-9).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, block: int = BLOCK) -> DataFrame:
+    """(id, h, root) for each row of docs, h its text's hash: texts of one root are linked by pairs of the similarity.
+
+    Pairs are found by prefix filtering and verified on whole shingle sets; none is lost. The first pass links
+    neighbours, which joins most of a large group by few pairs; the second takes all pairs left between groups.
+    """
+    importable(docs.sparkSession)
+    columns = {"id_column": id_column, "text_column": text_column, "shingle": shingle}
+    rows = stored(prefixes(docs, similarity, **columns), "prefixes")
+    one = rows.groupBy("node").agg(F.min(F.struct(F.col(id_column).isNull().alias("z"), id_column, "h", "n", "sketch")).alias("r"))
+    keys = stored(one.select("node", f"r.{id_column}", "r.h", "r.n", "r.sketch"), "nodes")
+    postings = stored(shared(rows.select("node", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))), "postings")
+    near = connected(similar(docs, neighbours(postings, similarity), keys, similarity, **columns))
+    marked = postings.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = similar(docs, candidates(marked, similarity, block=block), keys, similarity, **columns)
+    rooted = near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
+    final = connected(rooted)
+    return rows.select(id_column, "h", "node").join(final, "node", "left").select(id_column, "h", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, *, id_column: str = "doc_id", **options) -> DataFrame:
+    """docs without near-duplicates: of each group of similar_groups the row with the least id stays, whole.
 
     Rows with a null id stay. An id names one document: rows that share the kept id all stay.
     """
-    found = near_duplicates(docs, distance, id_column=id_column, **options)
-    out = found.filter(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct()
+    found = stored(similar_groups(docs, similarity, id_column=id_column, **options), "groups")
+    named = found.groupBy("root").agg(F.min(id_column).alias("_kept"))
+    out = found.join(named, "root").filter(F.col(id_column) != F.col("_kept")).select(F.col(id_column).alias("_gone")).distinct()
     return docs.join(out, docs[id_column] == F.col("_gone"), "left_anti")
