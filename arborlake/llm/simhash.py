@@ -451,12 +451,21 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str =
     return rows.select(id_column, "h", "node").join(final, "node", "left").select(id_column, "h", F.coalesce("root", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, *, id_column: str = "doc_id", **options) -> DataFrame:
-    """docs without near-duplicates: of each group of similar_groups the row with the least id stays, whole.
+def keep_one(docs: DataFrame, similarity: float = 0.8, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """docs without near-duplicates: of each group of similar_groups one row stays, whole.
 
-    Rows with a null id stay. An id names one document: rows that share the kept id all stay.
+    It is the one with the least id, null ids last, then the least hash of its text. Of rows that share both
+    any one stays. Rows are told apart by id and text, so an id that repeats with other texts takes none along.
     """
-    found = stored(similar_groups(docs, similarity, id_column=id_column, **options), "groups")
-    named = found.groupBy("root").agg(F.min(id_column).alias("_kept"))
-    out = found.join(named, "root").filter(F.col(id_column) != F.col("_kept")).select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(out, docs[id_column] == F.col("_gone"), "left_anti")
+    found = stored(similar_groups(docs, similarity, id_column=id_column, text_column=text_column, **options), "groups")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col(id_column).isNull().alias("z"), id_column, "h")).alias("r"))
+    best = best.select(F.col(f"r.{id_column}").alias("_id"), F.col("r.h").alias("_h"))
+    times = found.groupBy(F.col(id_column).alias("_k"), "h").count()
+    kept = stored(best.join(times, F.expr("_id <=> _k AND _h = h")).select("_id", "_h", "count"), "kept")
+    again = stored(kept.filter("count > 1").select("_id", "_h"), "kept-repeated")
+
+    def those(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_h")))
+
+    once = those(kept.filter("count = 1")).select(*(docs[c] for c in docs.columns))
+    return once.unionAll(those(again).dropDuplicates(["_id", "_h"]).select(*(docs[c] for c in docs.columns)))

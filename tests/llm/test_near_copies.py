@@ -83,3 +83,17 @@ def test_candidates_are_all_pairs_between_groups(spark):
     found = simhash.candidates(spark.createDataFrame(rows, "s long, node long, n long, pos int, root long"), 0.8, block=3).collect()
     assert {tuple(r) for r in found} == {(a, b) for a in range(12) for b in range(a + 1, 12) if a % 3 != b % 3}
     assert {tuple(r) for r in simhash.neighbours(spark.createDataFrame(rows, "s long, node long, n long, pos int, root long"), 0.8).collect()} == {(a, a + 1) for a in range(11)}
+
+
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    a, b, c, d, e = (words_of(rng, 120) for _ in range(5))
+    like = lambda w, i: " ".join([*w[:60], f"new{i}", *w[61:]])
+    a, near_b, c, d, e, f = " ".join(a), like(b, 1), " ".join(c), " ".join(d), " ".join(e), like(e, 2)
+    rows = [(5, a), (5, " ".join(b)), (1, near_b), (7, a), (None, c), (None, c), (3, c), (None, d), (None, d), (None, d), (None, e), (None, f), (8, "x y"), (8, "x y"), (9, "X  y"), (None, None), (None, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, h string").repartition(5)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    last = [r for r in got if r in ((None, e), (None, f))]
+    assert len(last) == 1 and sorted(got, key=str) == sorted([(5, a), (1, near_b), (3, c), (None, d), (8, "x y"), (5, None), *last], key=str)
