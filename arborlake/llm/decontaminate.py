@@ -103,6 +103,11 @@ def contamination(
     its text are one document and each gets its result; a null id stays null. Items that share an id count
     once. Without documents there are no rows; without items nothing is hit. Further columns are ignored.
     """
+    return _contamination(docs, items, window, id_column=id_column, text_column=text_column, item_id=item_id, item_text=item_text).drop("_h")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, window: int, *, id_column: str, text_column: str, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """contamination()'s rows with their text's hash, _h."""
     columns = {"id_column": id_column, "text_column": text_column}
     places, terms = alignments(docs, items, window, doc_columns=columns, item_columns={"id_column": item_id, "text_column": item_text})
     checked = stored(verified(docs, places, terms, window, **columns).coalesce(tasks_for(docs)), "verified")
@@ -120,6 +125,7 @@ def contamination(
         F.coalesce(F.size("f.names"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("f.names", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.col("c.h").alias("_h"),
     )
 
 
@@ -150,7 +156,10 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int, *, id_colu
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, *, id_column: str = "doc_id", text_column: str = "text", **columns) -> DataFrame:
-    """docs without those that hold a window of an item; all columns stay as they are."""
-    found = contamination(docs, items, window, id_column=id_column, text_column=text_column, **columns)
-    hit = found.filter("contaminated").select(F.col(id_column).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_column].eqNullSafe(F.col("_hit")), "left_anti")
+    """docs without those that hold a window of an item; all columns stay as they are.
+
+    A row goes by its id and text: clean rows that share an id, or its lack, with a contaminated one stay.
+    """
+    found = _contamination(docs, items, window, id_column=id_column, text_column=text_column, **columns)
+    hit = found.filter("contaminated").select(F.col(id_column).alias("_hit"), "_h").distinct()
+    return docs.join(hit, docs[id_column].eqNullSafe(F.col("_hit")) & (F.xxhash64(docs[text_column]) == F.col("_h")), "left_anti")

@@ -1,10 +1,10 @@
-"""The pipeline's near-duplicate stage against brute force over exact shingle sets."""
+"""The pipeline's near-duplicate and decontamination stages: near copies against brute force, null and repeated ids."""
 
 import random
 
 import pytest
 
-from arborlake.llm import simhash
+from arborlake.llm import decontaminate, simhash
 
 
 def words_of(rng, n):
@@ -97,3 +97,12 @@ def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     last = [r for r in got if r in ((None, e), (None, f))]
     assert len(last) == 1 and sorted(got, key=str) == sorted([(5, a), (1, near_b), (3, c), (None, d), (8, "x y"), (5, None), *last], key=str)
+
+
+def test_decontamination_takes_only_rows_that_hold_a_window(spark):
+    passage = " ".join(words_of(random.Random(14), 20))
+    rows = [(None, f"bad {passage}"), (None, "a clean row without an id"), (None, None), (1, passage), (1, "a clean row that shares its id"), (1, passage), (2, f"{passage} bad"), (3, "clean")]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, h string")
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[7]], key=str)
