@@ -20,7 +20,7 @@ SAMPLE = 20_000
 FOLDS, HELD_OUT = 4, 2
 NAMES = (
     "log_chars log_words upper lower digit space stop symbol bang bar wide newline mean_word longest distinct commonest repeats "
-    "ends_plain all_caps lines_distinct mean_line entropy stops_per_word title first_distinct"
+    "ends_plain all_caps lines_distinct mean_line entropy stops_per_word title block_distinct"
 ).split()
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\n\x0b\x0c", b".,;:", b"#$%&*@^~<>{}=+_\\/[]()", b"!?", b"|"), 1):
@@ -41,7 +41,7 @@ def statistics(text: str) -> list[float]:
     n = len(words)
     by_word = Counter(words)
     lines = [x for x in text.split("\n") if x]
-    some = words[:200]
+    blocks = [words[i : i + 200] for i in range(0, n, 200)]
     return [
         float(np.log1p(len(text))),
         float(np.log1p(n)),
@@ -60,7 +60,7 @@ def statistics(text: str) -> list[float]:
         float(-(share * np.log2(share)).sum()),
         counts[46] / n,
         sum(c for w, c in by_word.items() if w.istitle()) / n,
-        len(set(some)) / len(some),
+        sum(len(set(b)) / len(b) for b in blocks) / len(blocks),
     ]
 
 
