@@ -1,9 +1,9 @@
-"""Benchmark decontamination over a positional inverted index, in DataFrame operations only.
+"""Benchmark decontamination by postings of rare terms and a scan of the places they propose, in DataFrame operations only.
 
-The index holds postings (term, document, position) of the corpus. For each window of the test items the
+Postings are (term, document, position) of the corpus; they are not stored. For each window of the test items the
 rarest term, by its count in the whole corpus, is looked up; its postings, less the term's offset in the
-item, propose where the item may lie in a document. At each such place the item's other terms are
-intersected with the document's terms at the offset-adjusted positions; runs of a window's length are exact
+item, propose where the item may lie in a document. At each such place the item's words are
+compared with the document's words at the offset-adjusted positions, without postings of them; runs of a window's length are exact
 phrase matches. Only postings of terms that some window chose are built; all documents and whole texts are.
 """
 
