@@ -1,10 +1,14 @@
-"""Benchmark decontamination by postings of rare terms and a scan of the places they propose, in DataFrame operations only.
+"""Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-Postings are (term, document, position) of the corpus; they are not stored. For each window of the test items the
-rarest term, by its count in the whole corpus, is looked up; its postings, less the term's offset in the
-item, propose where the item may lie in a document. At each such place the item's words are
-compared with the document's words at the offset-adjusted positions, without postings of them; runs of a window's length are exact
-phrase matches. Only postings of terms that some window chose are built; all documents and whole texts are.
+The index is stored in the shared folder as segments: each task writes the postings (word, document, position)
+of its documents, sorted by word, so no word's list meets in one task, however common it is, and a reader of
+few words skips most of a segment. A document's length is a posting too.
+
+Lists are stored as the intersection asks for them. Each window of the test items has its terms ranked by
+their counts in the whole corpus. First the lists of the ``RANKS`` rarest terms of every window are stored; the rarest
+proposes where the window may lie, and its list is intersected with the next ones', each less its term's offset
+in the item. For the documents that are left, usually few, the lists of all other terms of the windows that are left are
+stored and intersected alike. Runs of a window's length are exact phrase matches.
 """
 
 from __future__ import annotations
@@ -13,11 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arborlake.llm.shared import stored, tasks_for
+from arborlake.llm.shared import small, stored, tasks_for
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words in a lower-cased text: ASCII that is neither a digit nor a small letter.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Rarest terms of a window whose lists are stored for all documents.
+RANKS = 3
+#: The words of length postings, by how many empty words a document's ends have.
+LENGTHS = (" 0", " 1", " 2")
 
 
 def lowered_words(text: Column) -> Column:
@@ -25,71 +33,98 @@ def lowered_words(text: Column) -> Column:
     return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), SEPARATOR, -1)
 
 
-def n_words(words: Column) -> Column:
-    size = F.size(words)
-    return (size - (words[0] == "").cast("int") - ((size > 1) & (F.element_at(words, -1) == "")).cast("int")).cast("long")
-
-
 def keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(k, h, words): an id with its text's hash names a document, so equal rows are one document."""
+    """(k, h, text): an id with its text's hash names a document, so equal rows are one document."""
     text = F.col(text_column)
     return df.select(F.col(id_column).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The index's postings (word, k, h, pos) of the given terms (word), which must be distinct."""
+    """(word, k, h, pos): the places of the given terms (word), which must be distinct.
+
+    Null and empty texts have none; repeated rows repeat theirs; a null id is the null k. Positions count an
+    empty word before a leading separator, in all lists alike.
+    """
     spread = keyed(docs, id_column, text_column).select("k", "h", F.posexplode(lowered_words(F.col("text"))).alias("pos", "word"))
-    return spread.join(terms.select("word"), "word")
+    return spread.join(terms.select("word"), "word").select("word", "k", "h", "pos")
+
+
+def stored_index(docs: DataFrame, terms: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """postings() of the terms, stored as segments sorted by word, with a posting for each document's length.
+
+    A length's word is one of LENGTHS, which no text holds; see lengths().
+    """
+    words = lowered_words(F.col("text"))
+    empty = (words[0] == "").cast("int") + ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
+    spread = keyed(docs, id_column, text_column).select("k", "h", F.posexplode(F.concat(words, F.array(F.concat(F.lit(" "), empty.cast("string"))))).alias("pos", "word"))
+    wanted = terms.select("word").union(docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, LENGTHS)))))
+    rows = spread.join(wanted, "word").select("word", "k", "h", "pos").coalesce(tasks_for(docs))
+    return stored(rows.sortWithinPartitions("word"), "index")
+
+
+def lengths(index: DataFrame) -> DataFrame:
+    """(k, h, n_words) for each row of the indexed documents."""
+    found = index.filter(F.col("word").isin(*LENGTHS))
+    return found.select("k", "h", (F.col("pos") - F.trim("word").cast("int")).cast("long").alias("n_words"))
 
 
 def item_terms(items: DataFrame, *, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """(item, ih, i, word, n): the items' words by place; n is the item's word count."""
+    """(item, ih, i, word, n): the items' words by place; n is the item's word count. Equal rows are one item."""
     rows = keyed(items, id_column, text_column).distinct()
-    spread = rows.select(F.col("k").alias("item"), F.col("h").alias("ih"), F.posexplode(F.filter(lowered_words(F.col("text")), lambda w: w != "")).alias("i", "word"))
-    return spread.withColumn("n", F.count("*").over(Window.partitionBy("item", "ih")).cast("int"))
+    words = F.filter(lowered_words(F.col("text")), lambda w: w != "")
+    return rows.withColumn("words", words).select(F.col("k").alias("item"), F.col("h").alias("ih"), F.posexplode("words").alias("i", "word"), F.size("words").alias("n"))
+
 
+def leads(terms: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """(item, ih, n, w0, i0, w1, i1, w2, i2, first, last): the rarest terms of windows first to last, rarest first.
 
-def anchors(terms: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(item, ih, i, word): for each window its rarest term; windows with a term that the corpus lacks fall out."""
+    Windows that slide over the same rarest terms are one row. Windows with a term that the corpus lacks
+    fall out; those of fewer terms than RANKS repeat their commonest.
+    """
     counted = terms.join(counts, "word", "left").fillna(0, ["count"])
     first, last = F.greatest(F.lit(0), F.col("i") - window + 1), F.greatest(F.lit(0), F.least(F.col("i"), F.col("n") - window))
     spread = counted.withColumn("s", F.explode(F.sequence(F.least(first, last), last)))
-    rarest = spread.groupBy("item", "ih", "s").agg(F.min(F.struct("count", "word", "i")).alias("r"))
-    return rarest.filter("r.count > 0").select("item", "ih", "r.i", "r.word").distinct()
+    ranked = spread.groupBy("item", "ih", "n", "s").agg(F.array_sort(F.collect_list(F.struct("count", "word", "i"))).alias("t")).filter("t[0].count > 0")
+    at = [F.col("t")[F.least(F.lit(r), F.size("t") - 1)] for r in range(RANKS)]
+    named = [x.alias(f"{name[0]}{r}") for r, t in enumerate(at) for name, x in (("word", t["word"]), ("i", t["i"]))]
+    by = ["item", "ih", "n", *(f"{c}{r}" for r in range(RANKS) for c in "wi")]
+    return ranked.select("item", "ih", "n", "s", *named).groupBy(*by).agg(F.min("s").alias("first"), F.max("s").alias("last"))
 
 
-def alignments(docs: DataFrame, items: DataFrame, window: int, *, doc_columns: dict, item_columns: dict) -> tuple[DataFrame, DataFrame]:
-    """((k, h, item, ih, delta) where an item may lie in a document, the items' terms)."""
-    terms = stored(item_terms(items, **item_columns), "item-terms")
-    vocabulary = terms.select("word").distinct()
-    counts = postings(docs, vocabulary, **doc_columns).groupBy("word").count()
-    chosen = stored(anchors(terms, counts, window), "anchors")
-    found = postings(docs, chosen.select("word").distinct(), **doc_columns)
-    return found.join(chosen, "word").select("k", "h", "item", "ih", (F.col("pos") - F.col("i")).alias("delta")).distinct(), terms
+def _intersected(left: DataFrame, index: DataFrame, word: str, offset: str) -> DataFrame:
+    """The rows of left (k, h, delta, ...) with a posting of their word at delta + offset."""
+    a, b = left.alias("a"), index.filter(~F.col("word").isin(*LENGTHS)).alias("b")
+    return a.join(b, F.expr(f"a.{word} = b.word AND a.h = b.h AND a.k <=> b.k AND a.delta + a.{offset} = b.pos"), "left_semi")
 
 
-def verified(docs: DataFrame, places: DataFrame, terms: DataFrame, window: int, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(k, h, n_words, hits) for each row of docs; hits: for each place the item terms found at their positions.
+def matches(docs: DataFrame, items: DataFrame, window: int, *, doc_columns: dict, item_columns: dict) -> tuple[DataFrame, DataFrame]:
+    """((k, h, item, ih, delta, n, i): item terms found at document position delta + i, and the lengths()).
 
-    Places travel with their item's words as one string, which compresses well; places where fewer terms
-    than a window's are found are dropped here.
+    All terms of each window that lies in a document are there, and some of windows that do not.
     """
-    phrases = terms.groupBy("item", "ih").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x.word), " ").alias("phrase"))
-    wanted = places.join(phrases, ["item", "ih"]).groupBy("k", "h").agg(F.collect_list(F.struct("item", "ih", "delta", "phrase")).alias("wanted"))
-    left, right = keyed(docs, id_column, text_column).alias("d"), wanted.alias("w")
-    both = left.join(right, F.expr("d.k <=> w.k AND d.h = w.h"), "left").select("d.k", "d.h", "d.text", "w.wanted")
-    words = both.withColumn("words", lowered_words(F.col("text")))
-    at = "CASE WHEN x.delta + i BETWEEN 0 AND size(words) - 1 AND words[x.delta + i] = t THEN i END"
-    found = F.expr(f"transform(wanted, x -> struct(x.item AS item, x.ih AS ih, x.delta AS delta, size(split(x.phrase, ' ')) AS n, array_compact(transform(split(x.phrase, ' '), (t, i) -> {at})) AS terms))")
-    hits = F.filter(found, lambda x: F.size(x.terms) >= F.least(F.lit(window), x.n))
-    return words.select("k", "h", n_words(F.col("words")).alias("n_words"), hits.alias("hits"))
-
-
-def exact_runs(hits: DataFrame, window: int) -> DataFrame:
+    terms = stored(item_terms(items, **item_columns).coalesce(tasks_for(items)), "item-terms")
+    text = F.col(doc_columns["text_column"])
+    words = docs.select(F.explode(lowered_words(text)).alias("word")).join(terms.select("word").distinct(), "word")
+    ranked = stored(leads(terms, words.groupBy("word").count(), window).coalesce(tasks_for(items)), "leads")
+    chosen = ranked.select(F.explode(F.array(*(f"w{r}" for r in range(RANKS)))).alias("word")).distinct()
+    index = stored_index(docs, chosen, **doc_columns)
+    places = index.join(ranked, F.col("word") == F.col("w0")).withColumn("delta", F.col("pos") - F.col("i0")).drop("word", "pos")
+    for r in range(1, RANKS):
+        places = _intersected(places, index, f"w{r}", f"i{r}")
+    left = stored(places.select("k", "h", "item", "ih", "n", "delta", "first", "last").coalesce(tasks_for(docs)), "places")
+    offsets = F.sequence(F.col("first"), F.least(F.col("n") - 1, F.col("last") + window - 1))
+    wanted = left.select("k", "h", "item", "ih", "delta", F.explode(offsets).alias("i")).distinct().alias("a")
+    wanted = wanted.join(terms.alias("t"), F.expr("a.item <=> t.item AND a.ih = t.ih AND a.i = t.i")).select("a.*", "t.word", "t.n")
+    of = stored(left.select(F.col("k").alias("_k"), F.col("h").alias("_h")).distinct().coalesce(tasks_for(docs)), "documents-left")
+    some = docs.join(small(of), docs[doc_columns["id_column"]].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[doc_columns["text_column"]]) == F.col("_h")), "left_semi")
+    rest = terms.alias("t").join(left.alias("l"), F.expr("l.item <=> t.item AND l.ih = t.ih"), "left_semi").select("word").distinct()
+    return _intersected(wanted, stored_index(some, rest, **doc_columns), "word", "i"), lengths(index)
+
+
+def exact_runs(found: DataFrame, window: int) -> DataFrame:
     """(k, h, item, begin, length): maximal runs of matched terms that hold a window."""
     place = ["k", "h", "item", "ih", "delta"]
-    rows = hits.select("k", "h", F.explode("hits").alias("x")).select("k", "h", "x.item", "x.ih", "x.delta", "x.n", F.explode("x.terms").alias("i")).distinct()
-    rows = rows.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*place).orderBy("i")))
+    rows = found.select(*place, "n", "i").distinct().withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*place).orderBy("i")))
     runs = rows.groupBy(*place, "run").agg(F.min("i").alias("i"), F.count("*").alias("length"), F.first("n").alias("n"))
     return runs.filter(F.col("length") >= F.least(F.lit(window), F.col("n"))).select("k", "h", "item", (F.col("delta") + F.col("i")).alias("begin"), "length")
 
@@ -108,15 +143,13 @@ def contamination(
 
 def _contamination(docs: DataFrame, items: DataFrame, window: int, *, id_column: str, text_column: str, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """contamination()'s rows with their text's hash, _h."""
-    columns = {"id_column": id_column, "text_column": text_column}
-    places, terms = alignments(docs, items, window, doc_columns=columns, item_columns={"id_column": item_id, "text_column": item_text})
-    checked = stored(verified(docs, places, terms, window, **columns).coalesce(tasks_for(docs)), "verified")
-    runs = stored(exact_runs(checked.filter(F.size("hits") > 0), window), "runs")
+    found, sizes = matches(docs, items, window, doc_columns={"id_column": id_column, "text_column": text_column}, item_columns={"id_column": item_id, "text_column": item_text})
+    runs = stored(exact_runs(found, window).coalesce(tasks_for(docs)), "runs")
     positions = runs.select("k", "h", F.explode(F.expr("sequence(begin, begin + CAST(length AS INT) - 1)")).alias("pos")).distinct()
     hit = positions.groupBy("k", "h").agg(F.count("*").alias("n_hit"))
     names = runs.groupBy("k", "h").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("names"))
     found = hit.alias("p").join(names.alias("q"), F.expr("p.k <=> q.k AND p.h = q.h")).select("p.k", "p.h", "p.n_hit", "q.names")
-    out = checked.alias("c").join(found.alias("f"), F.expr("c.k <=> f.k AND c.h = f.h"), "left")
+    out = sizes.alias("c").join(found.alias("f"), F.expr("c.k <=> f.k AND c.h = f.h"), "left")
     n_hit = F.coalesce("f.n_hit", F.lit(0).cast("long"))
     return out.select(
         F.col("c.k").alias(id_column),
@@ -129,21 +162,28 @@ def _contamination(docs: DataFrame, items: DataFrame, window: int, *, id_column:
     )
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10, **columns) -> DataFrame:
-    """(k, item, begin, length): where windows of the items lie in the documents, as word positions."""
-    doc_columns = {"id_column": columns.get("id_column", "doc_id"), "text_column": columns.get("text_column", "text")}
-    places, terms = alignments(docs, items, window, doc_columns=doc_columns, item_columns={"id_column": columns.get("item_id", "item_id"), "text_column": columns.get("item_text", "text")})
-    return exact_runs(verified(docs, places, terms, window, **doc_columns), window).select("k", "item", "begin", "length")
+def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10, *, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(k, item, begin, length): the longest stretches of items, of a window or more, that lie in the documents.
+
+    begin is a word position as in postings(). Rows that repeat an id with its text give their stretches
+    once; a null id or item stays null; null, empty and missing texts on either side give no rows; further
+    columns are ignored. An item that lies in a document at several places has a row for each.
+    """
+    found, _ = matches(docs, items, window, doc_columns={"id_column": id_column, "text_column": text_column}, item_columns={"id_column": item_id, "text_column": item_text})
+    return exact_runs(found, window).select("k", "item", "begin", "length")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int, *, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(k, item, begin): the rarest term of an item lies at begin and all its other terms within span words of it.
 
-    Terms count as a set; the order is free. Postings of a phrase's terms meet on the document and on blocks
-    of span positions, so a document's postings are never paired with each other at large.
+    Terms count as a set; the order is free; of terms that tie as the rarest the first in order counts.
+    Postings of a phrase's terms meet on the document and on blocks of span positions, so a document's
+    postings are never paired with each other at large. Rows that repeat an id with its text give their
+    places once; a null id or item stays null; null, empty and missing texts on either side give no rows;
+    further columns are ignored.
     """
     terms = item_terms(phrases, id_column=item_id, text_column=item_text).select("item", "ih", "word").distinct()
-    found = stored(postings(docs, terms.select("word").distinct(), id_column=id_column, text_column=text_column), "postings")
+    found = stored_index(docs, terms.select("word").distinct(), id_column=id_column, text_column=text_column)
     counts = found.groupBy("word").count()
     wanted = terms.join(counts, "word", "left").fillna(0, ["count"])
     per = wanted.groupBy("item", "ih").agg(F.count("*").alias("n"), F.min(F.struct("count", "word")).alias("r")).filter("r.count > 0")
@@ -161,5 +201,5 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, *, id_column: str
     A row goes by its id and text: clean rows that share an id, or its lack, with a contaminated one stay.
     """
     found = _contamination(docs, items, window, id_column=id_column, text_column=text_column, **columns)
-    hit = found.filter("contaminated").select(F.col(id_column).alias("_hit"), "_h").distinct()
-    return docs.join(hit, docs[id_column].eqNullSafe(F.col("_hit")) & (F.xxhash64(docs[text_column]) == F.col("_h")), "left_anti")
+    hit = stored(found.filter("contaminated").select(F.col(id_column).alias("_hit"), "_h").distinct().coalesce(tasks_for(docs)), "contaminated")
+    return docs.join(small(hit), docs[id_column].eqNullSafe(F.col("_hit")) & (F.xxhash64(docs[text_column]) == F.col("_h")), "left_anti")

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The folder that holds this package; executors import it from there.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -56,6 +57,11 @@ def tasks_for(source: DataFrame, megabytes: int = 64) -> int:
     return min(2**31 - 1, max(2 * source.sparkSession.sparkContext.defaultParallelism, -(-size // (megabytes << 20))))  # an unknown size is a very large one
 
 
+def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored table of a few fixed-size columns, to be broadcast if it has so many rows at most; else left to Catalyst."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def pieces(texts: list[str], limit: int) -> Iterator[slice]:
     """Slices of texts with about limit characters at most, or one text."""
     start = held = 0
