@@ -6,7 +6,7 @@ few words skips most of a segment. A document's length is a posting too.
 
 Lists are stored as the intersection asks for them. Each window of the test items has its terms ranked by
 their counts in the whole corpus. First the lists of the ``RANKS`` rarest terms of every window are stored; the rarest
-proposes where the window may lie, and its list is intersected with the next ones', each less its term's offset
+proposes where the window may lie, and its list is intersected with the next', each less its term's offset
 in the item. For the documents that are left, usually few, the lists of all other terms of the windows that are left are
 stored and intersected alike. Runs of a window's length are exact phrase matches.
 """
@@ -23,7 +23,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words in a lower-cased text: ASCII that is neither a digit nor a small letter.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rarest terms of a window whose lists are stored for all documents.
-RANKS = 3
+RANKS = 2
 #: The words of length postings, by how many empty words a document's ends have.
 LENGTHS = (" 0", " 1", " 2")
 
@@ -76,7 +76,7 @@ def item_terms(items: DataFrame, *, id_column: str = "item_id", text_column: str
 
 
 def leads(terms: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(item, ih, n, w0, i0, w1, i1, w2, i2, first, last): the rarest terms of windows first to last, rarest first.
+    """(item, ih, n, w0, i0, w1, i1, first, last): the RANKS rarest terms of windows first to last, rarest first.
 
     Windows that slide over the same rarest terms are one row. Windows with a term that the corpus lacks
     fall out; those of fewer terms than RANKS repeat their commonest.
