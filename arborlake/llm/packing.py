@@ -1,7 +1,7 @@
 """Packs token sequences into windows by multiway Karmarkar-Karp differencing.
 
 Each task packs the documents of its partition, ``group`` at a time, so memory is bounded and nothing is
-shuffled. A document longer than a window gives whole windows first; what remains of each document is an
+shuffled; many small partitions are packed by few tasks, for windows are near-equal within a group only. A document longer than a window gives whole windows first; what remains of each document is an
 item. Differencing starts from one partial partition an item, merges the two with the largest imbalance,
 pairing the heavier subsets of one with the lighter ones of the other, and ends with near-equal windows.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from arborlake.llm.encoder import encoder
-from arborlake.llm.shared import importable, pieces
+from arborlake.llm.shared import importable, pieces, tasks_for
 
 SCHEMA = "{id} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -64,44 +64,26 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
-def pack(sizes: np.ndarray, capacity: int, slack: float = 0.002) -> tuple[list[tuple[int, int, int, int]], int]:
-    """([(item, start, length, window)], number of windows) for items of 1 to capacity tokens.
+def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """(window of each item, number of windows) for items of 1 to capacity tokens.
 
-    The window count starts at the least possible one. While a window exceeds the capacity the count rises,
-    as long as the padding that this adds stays within ``slack`` of all windows; beyond that, what exceeds
-    the capacity is cut from its window's last item and put where room is left, so nothing is lost and
-    padding stays small.
+    The window count starts at the least possible one and rises whenever a window exceeds the capacity: to
+    where windows as unequal as the last ones would fit, and by growing steps at least. Then the count in
+    between is halved down, so the result fits and one window less does not. Nothing is cut.
     """
     total = int(sizes.sum())
-    least = k = max(1, -(-total // capacity))
-    window = differencing(sizes, k)
-    most = least + int(least * slack)
-    while np.bincount(window, sizes, k).max() > capacity and k < most:
-        k = most if most - k < 3 else (k + most + 1) // 2
-        window = differencing(sizes, k)
-    load = np.bincount(window, sizes, k).astype(np.int64)
-    over = np.maximum(load - capacity, 0)
-    out, loose = [], []
-    for i in np.argsort(window, kind="stable")[::-1]:
-        w, size = int(window[i]), int(sizes[i])
-        cut = min(size, int(over[w]))
-        over[w] -= cut
-        if size > cut:
-            out.append((int(i), 0, size - cut, w))
-        if cut:
-            loose.append((int(i), size - cut, cut))
-    room = capacity - np.minimum(load, capacity)
-    free = iter(np.argsort(-room, kind="stable"))
-    w = next(free) if loose else 0
-    for i, start, length in loose:
-        while length:
-            while not room[w]:
-                w = next(free)
-            part = min(length, int(room[w]))
-            out.append((i, start, part, int(w)))
-            room[w] -= part
-            start, length = start + part, length - part
-    return sorted(out, key=lambda p: (p[3], p[0], p[1])), k
+    k, over, step = max(1, -(-total // capacity)), 0, 1
+    while (top := int(np.bincount(window := differencing(sizes, k), sizes).max())) > capacity:
+        over = k
+        k = min(len(sizes), max(k + step, -(-total // max(1, capacity - (top - total // k)))))
+        step *= 2
+    while over and k - over > 1:
+        some = differencing(sizes, (k + over) // 2)
+        if np.bincount(some, sizes).max() > capacity:
+            over = (k + over) // 2
+        else:
+            k, window = (k + over) // 2, some
+    return window, k
 
 
 def _packed(docs: list, capacity: int, first: int, rows: list) -> int:
@@ -122,12 +104,12 @@ def _packed(docs: list, capacity: int, first: int, rows: list) -> int:
             of.append((d, whole * capacity))
     if not sizes:
         return first
-    placed, k = pack(np.array(sizes, np.int64), capacity)
+    window, k = pack(np.array(sizes, np.int64), capacity)
     offset = np.zeros(k, np.int64)
-    for item, start, length, w in placed:
-        d, base = of[item]
-        add(d, base + start, length, first + w, int(offset[w]))
-        offset[w] += length
+    for item in np.argsort(window, kind="stable"):
+        (d, base), w = of[item], window[item]
+        add(d, base, sizes[item], first + int(w), int(offset[w]))
+        offset[w] += sizes[item]
     return first + k
 
 
@@ -139,7 +121,7 @@ def pack_documents(
     Null and empty texts are the end id alone; rows with a null or repeated id are documents of their own,
     and a null id stays null; an empty table gives no rows; further columns are ignored. sequence_id is
     unique over the whole result: the partition's number in the high bits, as in
-    monotonically_increasing_id(). The result depends on how rows are dealt to partitions, never on timing.
+    monotonically_increasing_id(). Only documents longer than a sequence are cut. The result depends on how rows are dealt to partitions, never on timing.
     """
     importable(docs.sparkSession)
 
@@ -170,4 +152,4 @@ def pack_documents(
             _packed(held, capacity, first, rows)
             yield made()
 
-    return docs.select(id_column, text_column).mapInArrow(run, SCHEMA.format(id=id_column))
+    return docs.select(id_column, text_column).coalesce(tasks_for(docs)).mapInArrow(run, SCHEMA.format(id=id_column))

@@ -106,12 +106,31 @@ def test_differencing_is_near_equal_and_packs_tightly():
     k = -(-int(sizes.sum()) // 4096)
     load = np.bincount(packing.differencing(sizes, k), sizes, k)
     assert load.max() - load.min() < 600 and load.sum() == sizes.sum()
-    placed, n = packing.pack(sizes, 4096)
-    assert n <= k * 1.003 + 1 and sum(p[2] for p in placed) == sizes.sum()
-    assert max(np.bincount([p[3] for p in placed], [p[2] for p in placed])) <= 4096
     assert packing.pack(np.array([4096, 4096]), 4096)[1] == 2 and packing.pack(np.array([1]), 4096)[1] == 1
 
 
+def test_window_count_rises_until_nothing_exceeds_the_capacity():
+    rng = np.random.default_rng(2)
+    for n in (2, 7, 60, 300, 2048):
+        sizes = np.minimum(4095, rng.lognormal(6.3, 0.9, n)).astype(np.int64) + 1
+        window, k = packing.pack(sizes, 4096)
+        load, least = np.bincount(window, sizes, k), max(1, -(-int(sizes.sum()) // 4096))
+        assert len(window) == n and load.max() <= 4096 and load.min() > 0
+        assert k == least or np.bincount(packing.differencing(sizes, k - 1), sizes).max() > 4096
+        assert n < 2048 or least < k <= least * 1.02
+    assert packing.pack(np.full(50, 2049), 4096)[1] == 50 and packing.pack(np.full(50, 2048), 4096)[1] == 25
+
+
+def test_packing_of_many_small_partitions_pads_little(spark, tmp_path):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "word " * rng.randint(1, 1500)) for i in range(800)], "doc_id long, text string")
+    docs.repartition(120).write.parquet(f"{tmp_path}/docs")
+    rows = packing.pack_documents(spark.read.parquet(f"{tmp_path}/docs").repartition(60), WORDS).collect()
+    assert all(r.start == 0 and r.length == r.doc_tokens for r in rows) and len(rows) == 800
+    tokens, windows, tasks = sum(r.length for r in rows), len({r.sequence_id for r in rows}), len({r.sequence_id >> 33 for r in rows})
+    assert tasks <= 8 and windows <= tokens / 4096 + 2.5 * tasks
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, rule):
     df = table(spark)
