@@ -18,26 +18,28 @@ def fold(id_column: str, folds: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_out: int, bound: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, text, label) of at most ``bound`` labelled documents outside the held-out fold, in hash order.
+    """(_id, label, text) of at most ``bound`` labelled documents outside the held-out fold, in hash order.
 
-    The bound makes the sample fit to be broadcast: bound rows of 16 bytes.
+    The bound makes the sample fit to be broadcast: bound rows of 16 bytes. Of rows that repeat an id the one
+    of the least text is taken, so what reaches the driver keeps to the bound.
     """
     usable = labels.select(F.col(id_column).cast("long").alias("_id"), F.col(label).cast("int").alias("label")).filter("_id IS NOT NULL AND label IN (0, 1)")
     usable = usable.filter(fold("_id", folds) != held_out).groupBy("_id").agg(F.max("label").alias("label"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(bound)
-    return docs.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(text_column, F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    found = docs.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(text_column, F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    return found.groupBy("_id", "label").agg(F.min("text").alias("text"))
 
 
-def gathered(rows: DataFrame, features: dict[str, tuple[Callable[[list[str]], pa.Array], str]]) -> pa.Table:
-    """(_id, label and, by name, what each function of features gives for the texts) of a bounded sample, by id."""
+def gathered(rows: DataFrame, features: Callable[[list[str]], list[pa.Array]], kinds: dict[str, str]) -> pa.Table:
+    """(_id, label and the columns of ``kinds``, which features gives for the texts) of a bounded sample, by id."""
     importable(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), *(f(texts) for f, _ in features.values())], ["_id", "label", *features])
+            made = features(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), *made], ["_id", "label", *kinds])
 
-    schema = ", ".join(["_id long, label int", *(f"{name} {kind}" for name, (_, kind) in features.items())])
+    schema = ", ".join(["_id long, label int", *(f"{name} {kind}" for name, kind in kinds.items())])
     return rows.mapInArrow(run, schema).toArrow().sort_by("_id")
 
 

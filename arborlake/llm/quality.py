@@ -127,7 +127,7 @@ def _features(texts: list[str]) -> list[list[float]]:
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bound: int = SAMPLE, **columns) -> BoostedTrees:
     """Learns from at most ``bound`` labelled documents outside the held-out fold; without both labels: their share."""
     rows = labelled.sample(docs, labels, label, folds=FOLDS, held_out=HELD_OUT, bound=bound, **columns)
-    table = labelled.gathered(rows, {"f": (lambda texts: pa.array(_features(texts), pa.list_(pa.float64())), "array<double>")})
+    table = labelled.gathered(rows, lambda texts: [pa.array(_features(texts), pa.list_(pa.float64()))], {"f": "array<double>"})
     x = np.array(table["f"].to_pylist(), np.float64).reshape(-1, len(NAMES))
     return BoostedTrees().fit(x, table["label"].to_numpy().astype(np.float64))
 

@@ -1,8 +1,12 @@
 """Toxicity classifier with counterfactual regularisation.
 
-A logistic model over the presence of words and word beginnings in whole texts. Each labelled text that
-names identity groups has a counterfactual, with each identity term swapped for another of its group; the
-loss adds ``penalty`` times the mean squared change of the score's logit, so a mere mention moves no score.
+A logistic model over the presence of words and word beginnings in whole texts. Each labelled text has a
+counterfactual: its identity terms are swapped for others of their group, or, if it names no group, a mention of one is
+put between its words. The loss adds ``penalty`` times the mean squared change of the score's logit, so a mere
+mention moves no score, whatever the labels say about mentions.
+
+Every hashed feature may enter the model. An L1 penalty, weaker for features that differ more between the labels,
+keeps few; features join the dense problem as their gradient asks for it, until none is left that does.
 """
 
 from __future__ import annotations
@@ -16,12 +20,13 @@ from pyspark.sql import DataFrame
 
 from arborlake.llm import labelled
 
-#: Labelled rows to learn from, and features to choose from them, at most.
-SAMPLE, FEATURES = 12_000, 512
+#: Labelled rows to learn from, at most.
+SAMPLE = 12_000
 FOLDS, HELD_OUT = 3, 1
 SPACE = 1 << 20
 #: Lengths of the word beginnings that are features, so that inflected and derived forms share evidence.
 BEGINNINGS = (3, 4, 5)
+#: Groups of terms that may stand for each other, in English, German, French and Spanish.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -32,8 +37,26 @@ IDENTITY = (
     ("immigrant", "native", "foreigner", "refugee"),
     ("immigrants", "natives", "foreigners", "refugees"),
     ("disabled", "blind", "deaf"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("frau", "mann"),
+    ("frauen", "männer"),
+    ("schwul", "lesbisch", "heterosexuell", "bisexuell", "transgeschlechtlich"),
+    ("ausländer", "einwanderer", "flüchtling", "einheimischer"),
+    ("behindert", "blind", "taub"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("femme", "homme"),
+    ("femmes", "hommes"),
+    ("lesbienne", "homosexuel", "hétérosexuel", "bisexuel", "transgenre"),
+    ("immigrés", "étrangers", "réfugiés", "autochtones"),
+    ("handicapé", "aveugle", "sourd"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("mujer", "hombre"),
+    ("mujeres", "hombres"),
+    ("lesbiana", "homosexual", "heterosexual", "bisexual", "transgénero"),
+    ("inmigrantes", "extranjeros", "refugiados", "nativos"),
+    ("discapacitado", "ciego", "sordo"),
 )
-_NEXT = {w: group[(i + 1) % len(group)] for group in IDENTITY for i, w in enumerate(group)}
+Groups = tuple[tuple[str, ...], ...]
 _WORD = re.compile(r"\w+")
 
 
@@ -46,11 +69,43 @@ def features(text: str) -> list[int]:
     return sorted(_hashed(set(_WORD.findall(text.lower()))))
 
 
-def counterfactual(text: str) -> list[int]:
-    """Features of the text with its identity terms swapped; none without such terms."""
-    words = set(_WORD.findall(text.lower()))
-    swapped = {_NEXT.get(w, w) for w in words}
-    return sorted(_hashed(swapped)) if swapped != words else []
+def counterfactual(text: str, groups: Groups = IDENTITY) -> tuple[str, bool]:
+    """(the text with each identity term swapped for the next of its group, True), or with a mention put in, False.
+
+    The mention and its place between two words follow from the text's checksum. A term of several groups counts
+    in the first. A swapped term keeps a capital letter at its start.
+    """
+    other = {w: group[(i + 1) % len(group)] for group in reversed(groups) for i, w in enumerate(group)}
+
+    def swap(m: re.Match) -> str:
+        new = other.get(m[0].lower(), m[0])
+        return new.capitalize() if m[0][:1].isupper() and new != m[0] else new
+
+    swapped = _WORD.sub(swap, text)
+    if swapped != text:
+        return swapped, True
+    terms = sorted(other)
+    if not terms:
+        return text, False
+    crc = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    words = list(_WORD.finditer(text))
+    at = words[crc % len(words)].end() if words else 0
+    return f"{text[:at]} {terms[crc // 7 % len(terms)]}{' ' if not words else ''}{text[at:]}", False
+
+
+def _examples(texts: list[str], groups: Groups) -> list[pa.Array]:
+    """Of each text its features, those that its counterfactual adds and lacks, and whether that is a swap."""
+    found, added, lacked, swaps = [], [], [], []
+    for text in texts:
+        words = set(_WORD.findall(text.lower()))
+        mine = _hashed(words)
+        other, swap = counterfactual(text, groups)
+        after = set(_WORD.findall(other.lower()))
+        found.append(sorted(mine))
+        added.append(sorted(_hashed(after - words) - mine))
+        lacked.append(sorted(mine - _hashed(after)) if words - after else [])
+        swaps.append(swap)
+    return [_lists(found), _lists(added), _lists(lacked), pa.array(swaps, pa.bool_())]
 
 
 def _flat(lists: pa.ListArray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,58 +116,91 @@ def _flat(lists: pa.ListArray, first: int, last: int) -> tuple[np.ndarray, np.nd
 
 
 class Model:
-    """Logistic regression on chosen hashed features; weight is an array over the whole hash space."""
+    """Sparse logistic regression on hashed features; weight is an array over the whole hash space.
 
-    def __init__(self, penalty: float = 10.0, most: int = FEATURES, l2: float = 1e-4, steps: int = 300) -> None:
-        self.penalty, self.most, self.l2, self.steps = penalty, most, l2, steps
-        self.weight, self.bias = np.zeros(SPACE, np.float32), 0.0
+    ``pairs`` and ``swaps`` say how many counterfactuals changed a feature, and how many of them by swapping.
+    Without any, as without identity groups, the penalty has no effect and the model is the plain one.
+    """
+
+    def __init__(self, penalty: float = 10.0, l1: float = 0.003, steps: int = 300, most: int = 500) -> None:
+        self.penalty, self.l1, self.steps, self.most = penalty, l1, steps, most
+        self.weight, self.bias, self.pairs, self.swaps = np.zeros(SPACE, np.float32), 0.0, 0, 0
 
-    def fit(self, found: pa.ListArray, swapped: pa.ListArray, y: np.ndarray) -> Model:
-        """Learns from each text's features and its counterfactual's (empty: none), as lists of int32."""
+    def fit(self, found: pa.ListArray, added: pa.ListArray, lacked: pa.ListArray, y: np.ndarray, swapped: np.ndarray | None = None) -> Model:
+        """Learns from each text's features and what its counterfactual adds and lacks, as lists of int32."""
         n, positive = len(y), float(y.sum())
         self.bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
         if not 0 < positive < n:
             return self
-        a, c = np.zeros(SPACE), np.zeros(SPACE)
-        for some in range(0, n, 500):
-            row, flat = _flat(found, some, some + 500)
-            a += np.bincount(flat, y[row], SPACE)
-            c += np.bincount(flat, minlength=SPACE)
-        expected = c * positive / n
-        strength = np.where(c >= 5, np.abs(a - expected) / np.sqrt(np.maximum(expected * (1 - positive / n), 1e-9)), 0)
-        order = np.argsort(-strength, kind="stable")[: self.most]
-        known = _hashed(set(_NEXT))
-        chosen = np.array(sorted({int(i) for i in order if strength[i] >= 4.5} | known), np.int64)
-        place = np.full(SPACE, -1)
-        place[chosen] = np.arange(len(chosen))
-
-        def dense(lists: pa.ListArray) -> np.ndarray:
-            out = np.zeros((n, len(chosen)), np.float32)
+        changed = (np.diff(added.offsets.to_numpy()) > 0) | (np.diff(lacked.offsets.to_numpy()) > 0)
+        self.pairs, self.swaps = int(changed.sum()), int((changed & swapped).sum()) if swapped is not None else 0
+        share = np.where(y > 0, min(5.0, (n - positive) / positive), 1.0).astype(np.float32)
+        share /= share.sum()
+        pull = 2 * self.penalty / max(1, self.pairs)
+
+        def summed(lists: pa.ListArray, value: np.ndarray) -> np.ndarray:
+            out = np.zeros(SPACE)
+            for some in range(0, n, 500):
+                row, flat = _flat(lists, some, some + 500)
+                out += np.bincount(flat, value[row], SPACE)
+            return out
+
+        def dense(lists: pa.ListArray, place: np.ndarray, width: int) -> np.ndarray:
+            out = np.zeros((n, width), np.float32)
             for some in range(0, n, 500):
                 row, flat = _flat(lists, some, some + 500)
                 at = place[flat]
                 out[row[at >= 0], at[at >= 0]] = 1
             return out
 
-        x = dense(found)
-        pairs = np.nonzero(np.diff(swapped.offsets.to_numpy()) > 0)[0]
-        change = x[pairs] - dense(swapped)[pairs] if len(pairs) else x[:0]
-        importance = np.where(y > 0, min(5.0, (n - positive) / positive), 1.0).astype(np.float32)
-        importance /= importance.sum()
-        w, b = np.zeros(len(chosen), np.float32), np.float32(self.bias)
-        m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-        for step in range(1, self.steps + 1):
-            e = importance * (1 / (1 + np.exp(-(x @ w + b))) - y)
-            g, gb = x.T @ e + self.l2 * w, float(e.sum())
-            if len(pairs):
-                g += 2 * self.penalty / len(pairs) * (change.T @ (change @ w))
-            m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-            fade, grow = 1 - 0.9**step, 1 - 0.99**step
-            w = (w - 0.1 * (m / fade) / (np.sqrt(v / grow) + 1e-8)).astype(np.float32)
-            b = b - 0.1 * (mb / fade) / (np.sqrt(vb / grow) + 1e-8)
-        self.weight[chosen], self.bias = w, float(b)
+        held, toxic = summed(found, np.ones(n)), summed(found, y)
+        expected = held * positive / n
+        differs = np.abs(toxic - expected) / np.sqrt(np.maximum(expected * (1 - positive / n), 1e-9))
+        cost = 1 / np.maximum(differs, 1e-3)
+        error, drift = share * (1 / (1 + np.exp(-self.bias)) - y), np.zeros(n, np.float32)
+        weight, bias, active = np.zeros(SPACE), self.bias, np.zeros(0, np.int64)
+        cost *= self.l1 * 4.5 * np.abs(summed(found, error)).max()
+        while True:
+            slope = summed(found, error) + pull * (summed(added, drift) - summed(lacked, drift))
+            fresh = np.setdiff1d(np.flatnonzero(np.abs(slope) > 1.01 * cost), active)
+            if not len(fresh):
+                break
+            fresh = fresh[np.argsort(-np.abs(slope[fresh]) / cost[fresh], kind="stable")][: self.most]
+            active = np.concatenate([active, fresh])
+            place = np.full(SPACE, -1)
+            place[active] = np.arange(len(active))
+            x = dense(found, place, len(active))
+            change = dense(added, place, len(active)) - dense(lacked, place, len(active))
+            w, bias = self._shrunk(x, change, y, share, pull, weight[active], bias, cost[active])
+            weight[active] = w
+            error, drift = share * (1 / (1 + np.exp(-(x @ w + bias))) - y), change @ w
+        self.weight, self.bias = weight.astype(np.float32), float(bias)
         return self
 
+    def _shrunk(self, x: np.ndarray, change: np.ndarray, y: np.ndarray, share: np.ndarray, pull: float, w: np.ndarray, b: float, cost: np.ndarray) -> tuple[np.ndarray, float]:
+        """The weights of least loss, by accelerated proximal steps."""
+        v = np.ones(x.shape[1] + 1, np.float32)
+        for _ in range(20):  # the curvature's largest eigenvalue
+            u = share * (x @ v[:-1] + v[-1])
+            v = np.append(0.25 * (x.T @ u) + pull * (change.T @ (change @ v[:-1])), 0.25 * u.sum()).astype(np.float32)
+            steep = float(np.linalg.norm(v))
+            v /= steep
+        rate, w = 1 / (1.1 * steep), w.astype(np.float32)
+        ahead, ahead_b, speed = w, b, 1.0
+        for _ in range(self.steps):
+            e = share * (1 / (1 + np.exp(-(x @ ahead + ahead_b))) - y)
+            slope = x.T @ e + pull * (change.T @ (change @ ahead))
+            to = ahead - rate * slope
+            to = np.sign(to) * np.maximum(np.abs(to) - rate * cost, 0).astype(np.float32)
+            to_b = ahead_b - rate * float(e.sum())
+            faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+            moved = float(np.abs(to - w).max())
+            ahead, ahead_b = to + (speed - 1) / faster * (to - w), to_b + (speed - 1) / faster * (to_b - b)
+            w, b, speed = to, to_b, faster
+            if moved < 1e-4:
+                break
+        return w, b
+
     def predict(self, texts: list[str]) -> np.ndarray:
         logit = [self.weight[np.array(features(t), np.int64)].sum(dtype=np.float64) + self.bias for t in texts]
         return 1 / (1 + np.exp(-np.clip(np.array(logit, np.float64), -50, 50)))
@@ -122,22 +210,25 @@ def _lists(found: list[list[int]]) -> pa.ListArray:
     return pa.array(found, pa.list_(pa.int32()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = SAMPLE, penalty: float = 10.0, **columns) -> Model:
-    """Learns from at most ``bound`` labelled documents outside the held-out fold; without both labels: their share."""
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = SAMPLE, penalty: float = 10.0, groups: Groups = IDENTITY, **columns) -> Model:
+    """Learns from at most ``bound`` labelled documents outside the held-out fold; without both labels: their share.
+
+    Long texts count whole. Without identity groups there are no pairs and the model is the plain one.
+    """
     rows = labelled.sample(docs, labels, label, folds=FOLDS, held_out=HELD_OUT, bound=bound, **columns)
-    table = labelled.gathered(rows, {"f": (lambda texts: _lists([features(t) for t in texts]), "array<int>"), "g": (lambda texts: _lists([counterfactual(t) for t in texts]), "array<int>")})
-    found, swapped = (table[c].combine_chunks() if table.num_rows else _lists([]) for c in ("f", "g"))
-    return Model(penalty).fit(found, swapped, table["label"].to_numpy().astype(np.float32))
+    table = labelled.gathered(rows, lambda texts: _examples(texts, groups), {"found": "array<int>", "added": "array<int>", "lacked": "array<int>", "swap": "boolean"})
+    found, added, lacked = (table[c].combine_chunks() if table.num_rows else _lists([]) for c in ("found", "added", "lacked"))
+    return Model(penalty).fit(found, added, lacked, table["label"].to_numpy().astype(np.float32), table["swap"].to_numpy().astype(bool))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = SAMPLE, penalty: float = 10.0, **columns) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = SAMPLE, penalty: float = 10.0, groups: Groups = IDENTITY, **columns) -> DataFrame:
     """(id, held_out, score, predicted) for each row of docs.
 
     Null texts score as empty ones; null and repeated ids stay as they are (null: not held out); an empty
     table gives no rows; further columns are ignored. Labels other than 0 and 1 are ignored; of repeated
     labels of a document the largest counts.
     """
-    model = fit(docs, labels, label=label, bound=bound, penalty=penalty, **columns)
+    model = fit(docs, labels, label=label, bound=bound, penalty=penalty, groups=groups, **columns)
     return labelled.scored(docs, model.predict, folds=FOLDS, held_out=HELD_OUT, **columns)
 
 

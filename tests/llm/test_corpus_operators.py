@@ -251,29 +251,6 @@ def test_classifiers_on_held_out_documents(spark, operator):
     assert (quality.score_quality if operator == "quality" else toxicity.score_toxicity)(df.limit(0), labels).count() == 0
 
 
-def test_counterfactual_penalty_keeps_mentions_neutral(spark):
-    import pyarrow as pa
-
-    rng = random.Random(6)
-    texts, y = [], []
-    for i in range(900):
-        words = words_of(rng, 12)
-        bad = i % 4 == 0
-        if bad:
-            words.append(rng.choice(["vile", "scum"]))
-        if rng.random() < (0.9 if bad else 0.05):
-            words.append(rng.choice(["muslims", "women", "gay"]))
-        texts.append(" ".join(words))
-        y.append(float(bad))
-    lists = lambda f: pa.array([f(t) for t in texts], pa.list_(pa.int32()))
-    fit = lambda penalty: toxicity.Model(penalty).fit(lists(toxicity.features), lists(toxicity.counterfactual), np.array(y, np.float32))
-    plain, fair = fit(0.0), fit(50.0)
-    swaps = [("we met some muslims today", "we met some christians today"), ("the women sang", "the men sang")]
-    change = lambda m: sum(abs(float(np.diff(m.predict(list(s)))[0])) for s in swaps)
-    assert change(fair) < 0.5 * change(plain)
-    assert fair.predict(["you vile scum"])[0] > 0.7 and fair.predict(["we met some muslims today"])[0] < 0.7
-
-
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
