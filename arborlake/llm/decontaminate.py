@@ -105,20 +105,20 @@ def matches(docs: DataFrame, items: DataFrame, window: int, *, doc_columns: dict
 
     All terms of each window that lies in a document are there, and some of windows that do not.
     """
-    terms = stored(item_terms(items, **item_columns).coalesce(tasks_for(items)), "item-terms")
+    terms = stored(item_terms(items, **item_columns), "item-terms", like=items)
     text = F.col(doc_columns["text_column"])
     words = docs.select(F.explode(lowered_words(text)).alias("word")).join(terms.select("word").distinct(), "word")
-    ranked = stored(leads(terms, words.groupBy("word").count(), window).coalesce(tasks_for(items)), "leads")
+    ranked = stored(leads(terms, words.groupBy("word").count(), window), "leads", like=items)
     chosen = ranked.select(F.explode(F.array(*(f"w{r}" for r in range(RANKS)))).alias("word")).distinct()
     index = stored_index(docs, chosen, **doc_columns)
     places = index.join(ranked, F.col("word") == F.col("w0")).withColumn("delta", F.col("pos") - F.col("i0")).drop("word", "pos")
     for r in range(1, RANKS):
         places = _intersected(places, index, f"w{r}", f"i{r}")
-    left = stored(places.select("k", "h", "item", "ih", "n", "delta", "first", "last").coalesce(tasks_for(docs)), "places")
+    left = stored(places.select("k", "h", "item", "ih", "n", "delta", "first", "last"), "places", like=docs)
     offsets = F.sequence(F.col("first"), F.least(F.col("n") - 1, F.col("last") + window - 1))
     wanted = left.select("k", "h", "item", "ih", "delta", F.explode(offsets).alias("i")).distinct().alias("a")
     wanted = wanted.join(terms.alias("t"), F.expr("a.item <=> t.item AND a.ih = t.ih AND a.i = t.i")).select("a.*", "t.word", "t.n")
-    of = stored(left.select(F.col("k").alias("_k"), F.col("h").alias("_h")).distinct().coalesce(tasks_for(docs)), "documents-left")
+    of = stored(left.select(F.col("k").alias("_k"), F.col("h").alias("_h")).distinct(), "documents-left", like=docs)
     some = docs.join(small(of), docs[doc_columns["id_column"]].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[doc_columns["text_column"]]) == F.col("_h")), "left_semi")
     rest = terms.alias("t").join(left.alias("l"), F.expr("l.item <=> t.item AND l.ih = t.ih"), "left_semi").select("word").distinct()
     return _intersected(wanted, stored_index(some, rest, **doc_columns), "word", "i"), lengths(index)
@@ -147,7 +147,7 @@ def contamination(
 def _contamination(docs: DataFrame, items: DataFrame, window: int, *, id_column: str, text_column: str, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """contamination()'s rows with their text's hash, _h."""
     found, sizes = matches(docs, items, window, doc_columns={"id_column": id_column, "text_column": text_column}, item_columns={"id_column": item_id, "text_column": item_text})
-    runs = stored(exact_runs(found, window).coalesce(tasks_for(docs)), "runs")
+    runs = stored(exact_runs(found, window), "runs", like=docs)
     positions = runs.select("k", "h", F.explode(F.expr("sequence(begin, begin + CAST(length AS INT) - 1)")).alias("pos")).distinct()
     hit = positions.groupBy("k", "h").agg(F.count("*").alias("n_hit"))
     names = runs.groupBy("k", "h").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("names"))
@@ -204,5 +204,5 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, *, id_column: str
     A row goes by its id and text: clean rows that share an id, or its lack, with a contaminated one stay.
     """
     found = _contamination(docs, items, window, id_column=id_column, text_column=text_column, **columns)
-    hit = stored(found.filter("contaminated").select(F.col(id_column).alias("_hit"), "_h").distinct().coalesce(tasks_for(docs)), "contaminated")
+    hit = stored(found.filter("contaminated").select(F.col(id_column).alias("_hit"), "_h").distinct(), "contaminated", like=docs)
     return docs.join(small(hit), docs[id_column].eqNullSafe(F.col("_hit")) & (F.xxhash64(docs[text_column]) == F.col("_h")), "left_anti")

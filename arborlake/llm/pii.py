@@ -86,7 +86,7 @@ def scanned(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     if keep:
         columns.append(F.struct("*").alias("row"))
     found = docs.select(*columns).withColumn("base", base_spans("text"))
-    return stored(found.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "scanned")
+    return stored(found.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "scanned", like=docs)
 
 
 def document_counts(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
@@ -121,20 +121,20 @@ def disclosing(docs: DataFrame, found: DataFrame, *, text_column: str = "text",
     """
     n = found.count()
     holding = found.filter(F.size("base") > 0).groupBy("k", "h").agg(F.count("*").alias("m"), F.first("base").alias("base"), F.first("text").alias("text"))
-    holding = stored(holding, "holding")
-    terms = stored(placed_terms(holding.repartition("k", "h")), "terms")
+    holding = stored(holding, "holding", like=docs)
+    terms = stored(placed_terms(holding.repartition("k", "h")), "terms", like=docs)
     share = F.lit(n) / F.col("n_c")
     most = (F.col("n_c") + prior / share) * share ** (1 - threshold) * (1 + 1e-9) - prior
-    entities = stored(representatives(holding).withColumn("most", most), "entities")
+    entities = stored(representatives(holding).withColumn("most", most), "entities", like=docs)
     common = entities.agg(F.max("most")).first()[0] or 0.0
     counts = document_counts(docs, text_column=text_column).filter(F.col("n_t") <= common)
     limits = entities.groupBy("k", "h").agg(F.max("most").alias("limit"))
     same = lambda a, b: F.expr(f"{a}.k <=> {b}.k AND {a}.h = {b}.h")
     seen = terms.select("k", "h", "term").distinct().join(counts, "term").alias("t").join(limits.alias("l"), same("t", "l")).filter("n_t <= limit").select("t.*")
-    met = stored(seen.alias("t").join(entities.alias("c"), same("t", "c")).filter("n_t <= most").select("t.*", "m", "entity", "n_c"), "met")
+    met = stored(seen.alias("t").join(entities.alias("c"), same("t", "c")).filter("n_t <= most").select("t.*", "m", "entity", "n_c"), "met", like=docs)
     given = (F.col("n_ct") + prior / share) / (F.col("n_t") + prior)
     scored = met.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("m").alias("n_ct")).withColumn("disclosure", F.when(F.col("n_c") < n, F.log(given * share) / F.log(share)))
-    scored = stored(scored.filter(F.col("disclosure") >= threshold), "disclosing")
+    scored = stored(scored.filter(F.col("disclosure") >= threshold), "disclosing", like=docs)
     worst = met.join(scored.select("entity", "term", "disclosure"), ["entity", "term"]).groupBy("k", "h", "term").agg(F.max("disclosure").alias("disclosure"))
     places = terms.alias("t").join(worst.alias("w"), F.expr("t.k <=> w.k AND t.h = w.h AND t.term = w.term")).select("t.k", "t.h", "t.s", "t.e", "w.disclosure")
     return scored, places

@@ -14,8 +14,18 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows and bytes of an Arrow batch: whole texts are long, and a batch is held by the executor and by its worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def importable(spark: SparkSession) -> None:
-    """Python workers of this session find the package even when only the driver's path names it."""
+    """Python workers of this session find the package even when only the driver's path names it.
+
+    Where the session says nothing about the size of Arrow batches, BATCH holds.
+    """
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}" if known else ROOT
@@ -40,8 +50,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it: cuts the lineage and survives lost executors.
+
+    With ``like`` it has as many files at most as tasks_for() says for that table.
+    """
+    if like is not None:
+        df = df.coalesce(tasks_for(like))
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -62,6 +77,17 @@ def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """The inner join on key; right has one row a key, with n, how many of left's rows have it, of ``rows`` in all.
+
+    Keys of over a thousandth of left's rows, of which there are fewer than a thousand, are broadcast, so no
+    task gets all rows of a key; the others are left to Catalyst.
+    """
+    hot = F.broadcast(right.filter(F.col("n") * 1000 > rows))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col("n") * 1000 <= rows).drop("n"), key)
+    return left.join(hot.drop("n"), key).unionByName(rest)
+
+
 def pieces(texts: list[str], limit: int) -> Iterator[slice]:
     """Slices of texts with about limit characters at most, or one text."""
     start = held = 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import importable, pieces, stored
+from arborlake.llm.shared import importable, joined, pieces, stored
 
 BITS = 64
 #: Fingerprints of a block; two blocks meet in one group at most.
@@ -222,13 +222,13 @@ def links(nodes: DataFrame, distance: int = 4, *, block: int = BLOCK) -> DataFra
     return grouped.select("slot", "v", "i", "j", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def connected(edges: DataFrame, *, most: int = 60) -> DataFrame:
+def connected(edges: DataFrame, *, most: int = 60, like: DataFrame | None = None) -> DataFrame:
     """(node, root) for the nodes of edges (a, b): each component's root is its least node.
 
     Alternates large-star and small-star; each round is written to the shared folder. Its number grows with
     the logarithm of the longest path. RuntimeError beyond ``most`` rounds.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links", like=like)
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -238,12 +238,12 @@ def connected(edges: DataFrame, *, most: int = 60) -> DataFrame:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most):
         ways = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = ways.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.filter("a != b").distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        now = stored(small.filter("a != b").distinct(), "small-star")
+        least = ways.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined(ways, least, "a", 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(large.filter("a != b").distinct(), "large-star", like=now)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined(large, least, "a", large.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+        now = stored(small.filter("a != b").distinct(), "small-star", like=now)
         after = mark(now)
         if after == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -258,13 +258,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, *, id_column: str = "doc
     component; a null id stays null and never names a component with other ids; an empty table gives no
     rows; further columns are ignored.
     """
-    docs = stored(fingerprints(docs, id_column=id_column, text_column=text_column, shingle=shingle), "fingerprints")
-    nodes = stored(docs.groupBy("fp").agg(F.min(id_column).alias("first")), "nodes")
-    joined = connected(links(nodes, distance, block=block))
-    rooted = stored(nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = rooted.join(named, "root").select("fp", "component_id")
-    return docs.join(component, "fp").select(id_column, "fp", "component_id")
+    docs = stored(fingerprints(docs, id_column=id_column, text_column=text_column, shingle=shingle), "fingerprints", like=docs)
+    nodes = stored(docs.groupBy("fp").agg(F.min(id_column).alias("first"), F.count("*").alias("rows")), "nodes", like=docs)
+    roots = connected(links(nodes, distance, block=block), like=docs)
+    rooted = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.col("rows").alias("n"), F.coalesce("root", "fp").alias("root")), "rooted", like=docs)
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    component = joined(rooted.withColumnRenamed("n", "rows"), named, "root", nodes.count()).select("fp", "component_id", F.col("rows").alias("n"))
+    return joined(docs, component, "fp", docs.count()).select(id_column, "fp", "component_id")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -420,12 +420,12 @@ def similar(docs: DataFrame, pairs: DataFrame, keys: DataFrame, similarity: floa
     of = lambda c: keys.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     differ = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
     most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
-    pairs = stored(pairs.join(of("a"), "a").join(of("b"), "b").filter(F.greatest(differ, F.abs(F.col("na") - F.col("nb"))) <= most).select("a", "b"), "candidates")
+    pairs = stored(pairs.join(of("a"), "a").join(of("b"), "b").filter(F.greatest(differ, F.abs(F.col("na") - F.col("nb"))) <= most).select("a", "b"), "candidates", like=docs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(keys, "node").select("node", F.col(id_column).alias("_id"), F.col("h").alias("_h"))
-    wanted = stored(wanted, "wanted")
+    wanted = stored(wanted, "wanted", like=docs)
     docs = docs.select(id_column, text_column)
     texts = docs.join(wanted, docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_h"))).select("node", docs[text_column])
-    sets = stored(texts.mapInArrow(run, "node long, set array<long>"), "shingles").dropDuplicates(["node"])
+    sets = stored(texts.mapInArrow(run, "node long, set array<long>"), "shingles", like=docs).dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("q")), "b")
     met = F.size(F.array_intersect("p", "q"))
     return both.filter(met >= similarity * (F.size("p") + F.size("q") - met) - 1e-9).select("a", "b")
@@ -439,15 +439,15 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str =
     """
     importable(docs.sparkSession)
     columns = {"id_column": id_column, "text_column": text_column, "shingle": shingle}
-    rows = stored(prefixes(docs, similarity, **columns), "prefixes")
+    rows = stored(prefixes(docs, similarity, **columns), "prefixes", like=docs)
     one = rows.groupBy("node").agg(F.min(F.struct(F.col(id_column).isNull().alias("z"), id_column, "h", "n", "sketch")).alias("r"))
-    keys = stored(one.select("node", f"r.{id_column}", "r.h", "r.n", "r.sketch"), "nodes")
-    postings = stored(shared(rows.select("node", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))), "postings")
-    near = connected(similar(docs, neighbours(postings, similarity), keys, similarity, **columns))
+    keys = stored(one.select("node", f"r.{id_column}", "r.h", "r.n", "r.sketch"), "nodes", like=docs)
+    postings = stored(shared(rows.select("node", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))), "postings", like=docs)
+    near = connected(similar(docs, neighbours(postings, similarity), keys, similarity, **columns), like=docs)
     marked = postings.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = similar(docs, candidates(marked, similarity, block=block), keys, similarity, **columns)
     rooted = near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
-    final = connected(rooted)
+    final = connected(rooted, like=docs)
     return rows.select(id_column, "h", "node").join(final, "node", "left").select(id_column, "h", F.coalesce("root", "node").alias("root"))
 
 
@@ -457,12 +457,12 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, *, id_column: str = "doc_
     It is the one with the least id, null ids last, then the least hash of its text. Of rows that share both
     any one stays. Rows are told apart by id and text, so an id that repeats with other texts takes none along.
     """
-    found = stored(similar_groups(docs, similarity, id_column=id_column, text_column=text_column, **options), "groups")
+    found = stored(similar_groups(docs, similarity, id_column=id_column, text_column=text_column, **options), "groups", like=docs)
     best = found.groupBy("root").agg(F.min(F.struct(F.col(id_column).isNull().alias("z"), id_column, "h")).alias("r"))
     best = best.select(F.col(f"r.{id_column}").alias("_id"), F.col("r.h").alias("_h"))
     times = found.groupBy(F.col(id_column).alias("_k"), "h").count()
-    kept = stored(best.join(times, F.expr("_id <=> _k AND _h = h")).select("_id", "_h", "count"), "kept")
-    again = stored(kept.filter("count > 1").select("_id", "_h"), "kept-repeated")
+    kept = stored(best.join(times, F.expr("_id <=> _k AND _h = h")).select("_id", "_h", "count"), "kept", like=docs)
+    again = stored(kept.filter("count > 1").select("_id", "_h"), "kept-repeated", like=docs)
 
     def those(keys: DataFrame) -> DataFrame:
         return docs.join(keys, docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_h")))
