@@ -240,10 +240,11 @@ def connected(edges: DataFrame, *, most: int = 60, like: DataFrame | None = None
         ways = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         large = joined(ways, least, "a", 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.filter("a != b").distinct(), "large-star", like=now)
+        large = large.filter("a != b").distinct().persist()  # for this round; lost parts come from the last one's table
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = joined(large, least, "a", large.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        now = stored(small.filter("a != b").distinct(), "small-star", like=now)
+        now = stored(small.filter("a != b").distinct(), "stars", like=now)
+        large.unpersist()
         after = mark(now)
         if after == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -462,7 +463,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, *, id_column: str = "doc_
     best = best.select(F.col(f"r.{id_column}").alias("_id"), F.col("r.h").alias("_h"))
     times = found.groupBy(F.col(id_column).alias("_k"), "h").count()
     kept = stored(best.join(times, F.expr("_id <=> _k AND _h = h")).select("_id", "_h", "count"), "kept", like=docs)
-    again = stored(kept.filter("count > 1").select("_id", "_h"), "kept-repeated", like=docs)
+    again = kept.filter("count > 1").select("_id", "_h")
 
     def those(keys: DataFrame) -> DataFrame:
         return docs.join(keys, docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_h")))

@@ -122,7 +122,7 @@ class Model:
     Without any, as without identity groups, the penalty has no effect and the model is the plain one.
     """
 
-    def __init__(self, penalty: float = 10.0, l1: float = 0.003, steps: int = 300, most: int = 500) -> None:
+    def __init__(self, penalty: float = 10.0, l1: float = 0.003, steps: int = 300, most: int = 200) -> None:
         self.penalty, self.l1, self.steps, self.most = penalty, l1, steps, most
         self.weight, self.bias, self.pairs, self.swaps = np.zeros(SPACE, np.float32), 0.0, 0, 0
 
@@ -139,7 +139,7 @@ class Model:
         pull = 2 * self.penalty / max(1, self.pairs)
 
         def summed(lists: pa.ListArray, value: np.ndarray) -> np.ndarray:
-            out = np.zeros(SPACE)
+            out = np.zeros(SPACE, np.float32)
             for some in range(0, n, 500):
                 row, flat = _flat(lists, some, some + 500)
                 out += np.bincount(flat, value[row], SPACE)
@@ -153,12 +153,10 @@ class Model:
                 out[row[at >= 0], at[at >= 0]] = 1
             return out
 
-        held, toxic = summed(found, np.ones(n)), summed(found, y)
-        expected = held * positive / n
-        differs = np.abs(toxic - expected) / np.sqrt(np.maximum(expected * (1 - positive / n), 1e-9))
-        cost = 1 / np.maximum(differs, 1e-3)
+        expected = summed(found, np.full(n, positive / n))
+        cost = 1 / np.maximum(np.abs(summed(found, y) - expected) / np.sqrt(np.maximum(expected * (1 - positive / n), 1e-9)), 1e-3)
         error, drift = share * (1 / (1 + np.exp(-self.bias)) - y), np.zeros(n, np.float32)
-        weight, bias, active = np.zeros(SPACE), self.bias, np.zeros(0, np.int64)
+        weight, bias, active = np.zeros(SPACE, np.float32), self.bias, np.zeros(0, np.int64)
         cost *= self.l1 * 4.5 * np.abs(summed(found, error)).max()
         while True:
             slope = summed(found, error) + pull * (summed(added, drift) - summed(lacked, drift))
@@ -167,14 +165,14 @@ class Model:
                 break
             fresh = fresh[np.argsort(-np.abs(slope[fresh]) / cost[fresh], kind="stable")][: self.most]
             active = np.concatenate([active, fresh])
-            place = np.full(SPACE, -1)
+            place = np.full(SPACE, -1, np.int32)
             place[active] = np.arange(len(active))
             x = dense(found, place, len(active))
             change = dense(added, place, len(active)) - dense(lacked, place, len(active))
             w, bias = self._shrunk(x, change, y, share, pull, weight[active], bias, cost[active])
             weight[active] = w
             error, drift = share * (1 / (1 + np.exp(-(x @ w + bias))) - y), change @ w
-        self.weight, self.bias = weight.astype(np.float32), float(bias)
+        self.weight, self.bias = weight, float(bias)
         return self
 
     def _shrunk(self, x: np.ndarray, change: np.ndarray, y: np.ndarray, share: np.ndarray, pull: float, w: np.ndarray, b: float, cost: np.ndarray) -> tuple[np.ndarray, float]:
