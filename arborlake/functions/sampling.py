@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Bits of the hash number that rows are counted by when a sample's cut is looked for.
+BUCKET_BITS = 10
+
+
 def hash_key(seed: int, stream: str, *keys: str | Column) -> Column:
     """32 hexadecimal digits that order rows at random: md5 of seed, stream and keys."""
     return F.md5(F.concat_ws(":", F.lit(f"{seed}:{stream}"), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys)))
@@ -18,20 +22,30 @@ def hash_number(key: Column) -> Column:
 
 
 def sample_rows(df: DataFrame, k: int, seed: int, stream: str, key: str) -> DataFrame:
-    """Exactly min(k, rows) rows without replacement.
+    """Exactly min(k, rows) rows without replacement: the first in the order of their hash keys.
 
-    Below a threshold that keeps a little more than k rows, only those are sorted; the exact k are the first
-    of them. Should the threshold keep fewer, which is very rare, all rows are sorted.
+    Rows are counted by the hash number's bucket; only the bucket that the cut falls into is sorted, and the
+    sample is a filter of the table by the cut. Rows that repeat a key tie at the cut and count one by one.
     """
-    n = df.count()
-    if k >= n:
-        return df
     keyed = df.withColumn("_order", hash_key(seed, stream, key))
-    share = min(1.0, (k + 6 * k**0.5 + 20) / n)
-    some = keyed.filter(hash_number(F.col("_order")) < int(share * 2**32))
-    if share < 1 and some.count() >= k:
-        keyed = some
-    return keyed.orderBy("_order", key).limit(k).drop("_order")
+    bucket = F.shiftright(hash_number(F.col("_order")), 32 - BUCKET_BITS)
+    counts = dict(keyed.groupBy(bucket.alias("b")).count().collect())
+    if k >= sum(counts.values()):
+        return df
+    before = at = 0
+    for at in sorted(counts):
+        if before + counts[at] >= k:
+            break
+        before += counts[at]
+    place = F.struct("_order", F.col(key).cast("string").alias("k"))
+    first = keyed.filter(bucket == at).select(place.alias("p")).orderBy("p").limit(k - before).groupBy("p").count().orderBy(F.desc("p")).limit(1).collect()
+    cut = F.struct(F.lit(first[0]["p"]["_order"]).alias("_order"), F.lit(first[0]["p"]["k"]).alias("k")) if first else F.lit(None)
+    below = keyed.filter((bucket < at) | ((bucket == at) & (place < cut))).drop("_order")
+    if not first:
+        return below
+    ties = keyed.filter((bucket == at) & (place == cut))
+    taken = first[0]["count"]
+    return keyed.filter((bucket < at) | ((bucket == at) & (place <= cut))).drop("_order") if taken == ties.count() else below.unionByName(ties.limit(taken).drop("_order"))
 
 
 def bernoulli(df: DataFrame, share: float, seed: int, stream: str, key: str) -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from arborlake.functions.metrics import METRICS
 from arborlake.functions.sampling import permuted, sample_rows
+from arborlake.operators.encode import dictionary
 
 
 def groups_of(features: list | dict | str | None, columns: list[str]) -> dict[str, list[str]]:
@@ -183,15 +185,29 @@ def related_groups(relations: dict, threshold: float = 0.2) -> list[tuple[str, .
 
 
 def feature_dependence(df: DataFrame, columns: list[str], key: str, *, n_samples: int | None = 5000, n_trees: int = 25, seed: int = 42) -> DataFrame:
-    """(target, feature, predictability, importance): how well each feature follows from the others."""
+    """(target, feature, predictability, importance): how well each feature follows from the others.
+
+    Texts are predicted as ranks of their sorted values; rows without the target do not count for it.
+    ValueError for fewer than two features or five rows.
+    """
     from arborlake.functions.sampling import split
     from arborlake.operators.forest import ForestRegressor
 
+    if len(columns) < 2:
+        raise ValueError("at least two features are needed")
     some = (sample_rows(df, n_samples, seed, "dependence", key) if n_samples else df).select(key, *columns)
+    if some.limit(5).count() < 5:
+        raise ValueError("at least five rows are needed")
     out = []
     for target in columns:
         rest = [c for c in columns if c != target]
-        train, valid = split(some.withColumn("_target", F.col(target).cast("double")), 0.8, seed, key)
+        known = some.filter(F.col(target).isNotNull())
+        if isinstance(df.schema[target].dataType, T.NumericType):
+            ranked = known.withColumn("_target", F.col(target).cast("double"))
+        else:
+            values = dictionary(known.withColumn(target, F.col(target).cast("string")), target).select(F.col("value").alias("_value"), F.col("rank").cast("double").alias("_target"))
+            ranked = known.join(values, F.col(target).cast("string") == F.col("_value")).drop("_value")
+        train, valid = split(ranked, 0.8, seed, key)
         model = ForestRegressor(n_trees=n_trees, seed=seed).fit(train, "_target", rest, key=key)
         r2 = model.transform(valid).agg(METRICS["r2"]("_target", "prediction")).first()[0]
         for r in permutation_importance(model, valid, "_target", key, n_repeats=1, seed=seed).collect():

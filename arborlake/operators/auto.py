@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,13 @@ from arborlake.plans.config import Config
 ROWS = {False: (80_000, 120_000, 160_000, 200_000), True: (80_000, 160_000, 240_000, 320_000)}
 NODE_ROWS = {False: (640, 960, 1280), True: (640, 1280, 1920)}
 SCREEN_TREES = 8
+#: Rows that a growing forest's out-of-bag loss is measured on, for each output.
+TRACKED = 40_000
+
+
+def batch_seed(seed: int, batch: int) -> int:
+    """The seed of a batch of trees, below 2**31."""
+    return int.from_bytes(hashlib.md5(f"{seed}:batch:{batch}".encode()).digest()[:4], "little") >> 1
 
 
 def loss(model: ForestModel, scored: DataFrame | None = None, y: str = "y") -> float:
@@ -126,20 +134,37 @@ class AutoForest:
         return base.but(bootstrap_max=rows[justified(by_rows, self.min_improvement)], max_node_samples=windows[justified(by_window, self.min_improvement)])
 
     def fit(self, df: DataFrame, label: str, *, key: str | None = None) -> ForestModel:
-        config = self._sized(df, label, key)
+        """An ordinary fit of the sized configuration, or with autogrow batches of trees until one pays too little.
+
+        All batches share one pool, encoding and set of tracked rows; each has a seed of its own.
+        ``tree_history_`` has for each batch the trees so far, their out-of-bag loss, its relative improvement
+        (None for the first) and whether the batch was accepted.
+        """
+        config, estimator = self._sized(df, label, key), self.estimator(**self.parameters)
+        self.tree_history_ = []
         if not self.autogrow:
-            return self.estimator(**self.parameters).fit_many(df, label, {0: config}, key=key)[0]
-        grown, last = None, None
-        for batch in range(0, self.max_trees, self.tree_batch_size):
-            step = config.but(n_trees=min(self.tree_batch_size, self.max_trees - batch), oob=True, seed=(config.seed or 0) + batch)
-            added = self.estimator(**self.parameters).fit_many(df, label, {0: step}, key=key)[0]
-            both = added if grown is None else grown.combined(ForestModel(added.spark, added.config, grown.encoder, added.nodes, added.classes_, added.label, added.oob_))
-            found = loss(both)
-            self.tree_history_.append((both.n_trees_, found))
-            if last is not None and found > last * (1 - self.min_improvement):
-                return both if self.keep_last_batch else grown
-            grown, last = both, found
-        return grown
+            return estimator.fit_many(df, label, {0: config}, key=key)[0]
+        seed, step = config.seed or 0, config.but(n_trees=min(self.tree_batch_size, self.max_trees), oob=True)
+        pool = estimator.pool(df, label, [step], key=key)
+        try:
+            tracked = pool.tracking(TRACKED * pool.outputs, seed).persist()
+            grown, last = pool.grown(step, tracked), None
+            last = loss(grown)
+            self.tree_history_.append({"trees": grown.n_trees_, "loss": last, "improvement": None, "accepted": True})
+            while grown.n_trees_ + step.n_trees <= self.max_trees:
+                both = grown.combined(pool.grown(step.but(seed=batch_seed(seed, len(self.tree_history_))), tracked))
+                found = loss(both)
+                improvement = (last - found) / last if last else 0.0
+                accepted = improvement >= self.min_improvement
+                self.tree_history_.append({"trees": both.n_trees_, "loss": found, "improvement": improvement, "accepted": accepted})
+                if accepted or self.keep_last_batch:
+                    grown, last = both, found
+                if not accepted:
+                    break
+            tracked.unpersist()
+            return grown
+        finally:
+            pool.release()
 
 
 class AutoForestClassifier(AutoForest):

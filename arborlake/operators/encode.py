@@ -165,8 +165,14 @@ def bundles(df: DataFrame, columns: list[str], names: list[str] | None = None) -
 
 
 def bundle_code(values: list[Column]) -> Column:
-    """1 for the first member that is 1, and so on; 0 for none; null where none is 1 and one is missing."""
-    code = F.when(values[0] == 1, 1)
+    """1 for the first member that is 1, and so on; 0 for none; null where none is 1 and one is missing.
+
+    A member that is neither 0 nor 1 is an error.
+    """
+    bad = ~F.coalesce(values[0].isin(0, 1), F.lit(True))
+    for v in values[1:]:
+        bad = bad | ~F.coalesce(v.isin(0, 1), F.lit(True))
+    code = F.when(bad, F.raise_error(F.lit("a bundle member is neither 0 nor 1")).cast("int")).when(values[0] == 1, 1)
     for i, v in enumerate(values[1:], 2):
         code = code.when(v == 1, i)
     missing = values[0].isNull()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass, fields
 
@@ -179,7 +180,7 @@ def _tree(rows: pd.DataFrame, width: int, classes: int, config: Config) -> pd.Da
         cardinality[f] = len(distinct)
         ranks[known, f], ranks[~known, f] = inverse, len(distinct)
     y = rows["y"].to_numpy(np.int64 if classes else np.float64)
-    seed = int.from_bytes(f"{config.seed or 0}:{tree_id}".encode()[-8:], "little")
+    seed = int.from_bytes(hashlib.md5(f"{config.seed or 0}:{tree_id}".encode()).digest()[:8], "little")
     tree = kernel.grow_tree(ranks, y, cardinality, classes=classes, features=features_per_node(config.max_features, width) if width else 0, min_node=config.min_node_size, window=config.max_node_samples, prior=config.split_prior_rows, power=config.class_weight_power, random_splitter=config.random_splitter, divisor=config.cutoff_divisor, seed=seed)
     cut = [float(values[f][c]) if f >= 0 else 0.0 for f, c in zip(tree["feature"], tree["cut"], strict=True)]
     value = tree["value"].tolist() if classes else [[v] for v in tree["value"]]
@@ -380,53 +381,89 @@ class _Forest:
 
         key names a column that identifies rows; without one a hash of the whole row serves.
         """
-        spark = df.sparkSession
-        for c in configs.values():
+        pool = self.pool(df, label, list(configs.values()), features, key=key, detect_dates=detect_dates)
+        try:
+            return {i: pool.grown(c) for i, c in configs.items()}
+        finally:
+            pool.release()
+
+    def pool(self, df: DataFrame, label: str, configs: list[Config], features: list[str] | None = None, *, key: str | None = None, detect_dates: bool = True) -> Pool:
+        """The sampled and encoded rows that forests of these configurations learn from; release() it in the end."""
+        for c in configs:
             c.checked()
         features = features or [c for c in df.columns if c not in (label, key)]
         row_key = F.col(key).cast("string") if key else F.sha2(F.to_json(F.struct("*")), 256)
         table = df.select(row_key.alias("_key"), F.col(f"`{label}`").alias("_y"), *(F.col(f"`{c}`") for c in features))
-        n, classes = table.count(), None
+        classes = None
+        if self.classification:
+            n = table.count()
+        else:
+            number = F.col("_y").cast("double")
+            bad = number.isNull() | F.isnan(number) | number.isin(float("inf"), float("-inf"))
+            n, wrong = table.agg(F.count("*"), F.count(F.when(bad, 1))).first()
         if not n:
             raise ValueError("X must contain at least one row")
         if self.classification:
             classes = [r[0] for r in encode.class_dictionary(table, "_y").orderBy("class_id").select("_y").collect()]
-        else:
-            bad = table.filter(F.col("_y").isNull() | F.isnan(F.col("_y").cast("double")) | F.col("_y").cast("double").isin(float("inf"), float("-inf"))).limit(1).count()
-            if bad:
-                raise ValueError("y must contain only finite values")
-        outputs = max(1, len(classes) - 1) if classes else 1
-        plans = {i: plan_fit(n, c, outputs) for i, c in configs.items()}
-        base = next(iter(configs.values()))
-        pool = sample_rows(table, max(p.pool_rows for p in plans.values()), base.seed or 0, "pool", "_key").persist()
+        elif wrong:
+            raise ValueError("y must contain only finite values")
+        outputs, base = max(1, len(classes) - 1) if classes else 1, configs[0]
+        rows = max(plan_fit(n, c, outputs).pool_rows for c in configs)
+        pool = sample_rows(table, rows, base.seed or 0, "pool", "_key").persist()
         try:
             encoder = Encoder.fit(pool, features, base, "_key", detect_dates)
             y = F.array_position(F.array(*map(F.lit, classes)), F.col("_y")) - 1 if classes else F.col("_y").cast("double")
             native = [c.alias(f"f{i}") for i, c in enumerate(encoder.native(pool))]
             indexed = dense_index(pool.select(F.col("_key").alias("row_id"), y.alias("y"), *native), "row_id").persist()
-            pool_n, width, out = indexed.count(), len(encoder.features), {}
-            for i, c in configs.items():
-                plan = plans[i]
-                rows = tree_samples(spark, indexed, plan.n_trees, min(plan.rows_per_tree, pool_n) if not resolve_replacement(c.replacement, n, self.classification) else plan.rows_per_tree, pool_n, c.seed or 0, resolve_replacement(c.replacement, n, self.classification))
-                nodes = rows.groupBy("tree_id").applyInPandas(_grower(width, len(classes) if classes else 0, c), _NODES).toPandas()
-                model = ForestModel(spark, c, encoder, nodes, classes, label)
-                if c.oob:
-                    model.oob_ = self._oob(model, indexed, rows, width)
-                out[i] = model
-            return out
+            return Pool(df.sparkSession, indexed, indexed.count(), n, outputs, encoder, classes, label)
         finally:
             pool.unpersist()
 
-    def _oob(self, model: ForestModel, indexed: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-        """(row_id, y, mean, count): over the trees that did not sample the row, for all or bootstrap_max rows."""
-        size = len(model.classes_) if model.classes_ is not None else 1
-        some = sample_rows(indexed, model.config.bootstrap_max or indexed.count(), model.config.seed or 0, "oob", "row_id")
-        leaf = some.select("row_id", "y", model._udf(_leaf_values, "array<double>")(*(F.col(f"f{i}") for i in range(width))).alias("v"))
+
+@dataclass
+class Pool:
+    """Encoded rows with a dense index: ``size`` of a table's ``rows``. Forests of one pool can be combined."""
+
+    spark: SparkSession
+    indexed: DataFrame
+    size: int
+    rows: int
+    outputs: int
+    encoder: Encoder
+    classes: list | None
+    label: str
+
+    def tracking(self, rows: int, seed: int) -> DataFrame:
+        """Rows that out-of-bag predictions are followed on."""
+        return sample_rows(self.indexed, rows, seed, "oob", "row_id")
+
+    def grown(self, config: Config, tracked: DataFrame | None = None) -> ForestModel:
+        """A forest of config; out-of-bag means are of the tracked rows, by default at most bootstrap_max of the pool."""
+        plan, width = plan_fit(self.rows, config, self.outputs), len(self.encoder.features)
+        replacement = resolve_replacement(config.replacement, self.rows, self.classes is not None)
+        per_tree = plan.rows_per_tree if replacement else min(plan.rows_per_tree, self.size)
+        rows = tree_samples(self.spark, self.indexed, plan.n_trees, per_tree, self.size, config.seed or 0, replacement)
+        nodes = rows.groupBy("tree_id").applyInPandas(_grower(width, len(self.classes) if self.classes else 0, config), _NODES).toPandas()
+        model = ForestModel(self.spark, config, self.encoder, nodes, self.classes, self.label)
+        if config.oob:
+            if tracked is None:
+                tracked = self.tracking(config.bootstrap_max or self.size, config.seed or 0)
+            model.oob_ = self._oob(model, tracked, rows)
+        return model
+
+    def release(self) -> None:
+        self.indexed.unpersist()
+
+    def _oob(self, model: ForestModel, tracked: DataFrame, rows: DataFrame) -> DataFrame:
+        """(row_id, y, mean, count): over the trees that did not sample the row. As many rows at most as are tracked, kept by the driver."""
+        size, width = len(self.classes) if self.classes is not None else 1, len(self.encoder.features)
+        leaf = tracked.select("row_id", "y", model._udf(_leaf_values, "array<double>")(*(F.col(f"f{i}") for i in range(width))).alias("v"))
         spread = leaf.select("row_id", "y", "v", F.posexplode(F.sequence(F.lit(0), F.lit(model.n_trees_ - 1))).alias("tree_id", "_t"))
         spread = spread.select("row_id", "y", "tree_id", F.slice("v", F.col("tree_id") * size + 1, size).alias("v"))
         outside = spread.join(rows.select("tree_id", "row_id").distinct(), ["tree_id", "row_id"], "left_anti")
         mean = F.array(*(F.avg(F.col("v")[i]) for i in range(size)))
-        return outside.groupBy("row_id").agg(F.first("y").alias("y"), mean.alias("mean"), F.count("*").alias("count"))
+        found = outside.groupBy("row_id").agg(F.first("y").alias("y"), mean.alias("mean"), F.count("*").alias("count"))
+        return self.spark.createDataFrame(found.toArrow(), found.schema)
 
 
 class ForestRegressor(_Forest):

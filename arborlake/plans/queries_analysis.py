@@ -197,7 +197,7 @@ def average_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def linkage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = table(spark, sf_dir, "lineitem").withColumn("_key", F.concat_ws("-", "l_orderkey", "l_linenumber")).withColumn("l_quantity_copy", F.col("l_quantity") * 2)
-    found = analysis.feature_relations(keyed, [*_LINE, "l_quantity_copy"], "_key")
+    found = analysis.feature_relations(keyed, [*_LINE, "l_quantity_copy"], "_key", n_samples=None)
     return spark.createDataFrame([(i, ",".join(g)) for i, g in enumerate(analysis.related_groups(found))], "group_id long, members string")
 
 
@@ -235,22 +235,23 @@ def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
-    return line.select(F.monotonically_increasing_id().cast("string").alias("_row"), "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "l_extendedprice")
+    return line.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("_row"), "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "l_extendedprice")
 
 
 @query()
 def forest_regression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits 80 % of lineitem, default budget, and measures the rest."""
     train, valid = split(_line_rows(spark, sf_dir), 0.8, 42, "_row")
-    model = ForestRegressor(seed=42, n_trees=32, bootstrap_max=10_000).fit(train, "l_extendedprice", key="_row")
+    model = ForestRegressor(seed=42).fit(train, "l_extendedprice", key="_row")
     return model.transform(valid).agg(M.r2("l_extendedprice", "prediction").alias("r2"), M.negative_rmse("l_extendedprice", "prediction").alias("negative_rmse"), F.count("*").alias("n"))
 
 
 @query()
 def forest_class_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits 80 % of orders, default budget, and measures the rest."""
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus")
     train, valid = split(orders, 0.8, 42, "o_orderkey")
-    model = ForestClassifier(seed=42, n_trees=32, bootstrap_max=10_000).fit(train, "o_orderstatus", key="o_orderkey")
+    model = ForestClassifier(seed=42).fit(train, "o_orderstatus", key="o_orderkey")
     return model.transform(valid).agg(M.accuracy("o_orderstatus", "prediction").alias("accuracy"), F.count("*").alias("n"))
 
 
@@ -266,7 +267,7 @@ def autogrow_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_type", "p_brand", "p_retailprice")
     grown = auto.AutoForest(autogrow=True, tree_batch_size=8, max_trees=24, seed=1)
     grown.fit(part, "p_retailprice", key="p_partkey")
-    return spark.createDataFrame([(int(n), float(v)) for n, v in grown.tree_history_], "trees long, loss double")
+    return spark.createDataFrame([(h["trees"], h["loss"], h["improvement"], h["accepted"]) for h in grown.tree_history_], "trees long, loss double, improvement double, accepted boolean")
 
 
 @query()

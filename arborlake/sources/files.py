@@ -175,7 +175,7 @@ def fit_file(spark: SparkSession, path: str, target: str, *, task: str = "regres
     parameters.setdefault("date_columns", {})
     if task == "classification":
         return ForestClassifier(**parameters).fit(df.withColumn(target, F.when(F.col(target).cast("string") != "", F.col(target))), target, detect_dates=False)
-    return ForestRegressor(**parameters).fit(df.withColumn(target, F.col(target).cast("double")), target, detect_dates=False)
+    return ForestRegressor(**parameters).fit(df.withColumn(target, F.col(target).try_cast("double")), target, detect_dates=False)
 
 
 def predict_file(model: ForestModel, source: str, target: str, *, proba: bool = False) -> None:
