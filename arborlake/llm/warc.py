@@ -7,9 +7,11 @@ the WARC fields that ARC lacks: an identifier, an ISO timestamp, a type, and blo
 HTTP records with equal payloads from ``least`` bytes on, the one that ranks highest is the response; the
 others become revisits of it.
 
-Archives are written by Spark's text writer, a record a row, with the record end as line separator; so
-files go to any store that Spark writes and a lost task is written anew. Reading is streamed from the
-compressed bytes of a file.
+Every record is a gzip member of its own, so readers can seek by it. A task packs members into files of
+bounded size, which Spark's text writer writes whole, a row a file, so they go to any store that Spark writes and
+a lost task is written anew; the writer's line separator is the zero byte that gzip allows as padding at a
+file's end. Records are read one by one from a file's compressed bytes. Only keys of records are shuffled: equal
+payloads are found by digest, and each file gets the list of its own revisits.
 """
 
 from __future__ import annotations
@@ -18,32 +20,49 @@ import gzip
 import hashlib
 import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import importable, new_path, tasks_for
+from arborlake.llm.shared import importable, joined, new_path, stored, tasks_for
 
 #: The field names that versions 1 and 2 define.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-_PARSED = (
-    "file string, place long, version int, kind string, target_uri string, ip string, date string, content_type string, head binary, payload binary, payload_bytes long, payload_digest string"
-)
-_NAMES = [x.split()[0] for x in _PARSED.split(", ")]
+_KEYS = "file string, place long, kind string, target_uri string, date string, payload_bytes long, payload_digest string"
+_NAMES = [x.split()[0] for x in _KEYS.split(", ")]
+#: Compressed bytes of a file, about.
+FILE = 16 << 20
 
 
-def arc_segment(version: int, rows: list[tuple[str, str, bytes]], origin: str = "arborlake", date: str = "20240101000000") -> bytes:
-    """One archive of (url, 14-digit date, content) records, without the last line feed."""
+def arc_records(version: int, rows: list[tuple[str, str, bytes]], origin: str = "arborlake", date: str = "20240101000000") -> list[bytes]:
+    """The records of one archive of (url, 14-digit date, content): a filedesc record, then one for each row.
+
+    White space in a URL is escaped; an empty URL is "-".
+    """
     about = f"{version} 0 {origin}\n{FIELDS[version]}\n".encode()
     line = lambda url, when, kind, n: (f"{url} 0.0.0.0 {when} {kind} {n}" if version == 1 else f"{url} 0.0.0.0 {when} {kind} 200 - - 0 {origin}.arc {n}").encode() + b"\n"
-    out = [line(f"filedesc://{origin}.arc", date, "text/plain", len(about)) + about]
-    out += [line(re.sub(r"\s", "%20", url) or "-", when, "text/html", len(content)) + content for url, when, content in rows]
-    return b"\n".join(out)
+    out = [line(f"filedesc://{origin}.arc", date, "text/plain", len(about)) + about + b"\n"]
+    return out + [line(re.sub(r"\s", "%20", url) or "-", when, "text/html", len(content)) + content + b"\n" for url, when, content in rows]
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member without a date."""
+    return gzip.compress(record, 6, mtime=0)
+
+
+def _written(files: DataFrame, path: str) -> None:
+    """Writes a file under path for each row of files (value binary)."""
+    files.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def _binary(value: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], ["value"])
 
 
 def http_response(payload: bytes) -> bytes:
@@ -51,26 +70,29 @@ def http_response(payload: bytes) -> bytes:
 
 
 def write_arc(pages: DataFrame, path: str, *, uri: str, html: str, version: str) -> None:
-    """Archives of pages under path: columns for the URI, the page's HTML (null: empty) and the version, 1 or 2."""
+    """Archives of pages under path: columns for the URI, the page's HTML (null: empty) and the version, 1 or 2.
+
+    A null URI is an empty one; a null version is 1; repeated rows are records of their own; an empty table writes no
+    archive; further columns are ignored.
+    """
     importable(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size: dict[int, int] = {}
-        made = lambda v: pa.RecordBatch.from_arrays([pa.array([arc_segment(v, held.pop(v))], pa.binary())], ["value"])
+        held: dict[int, bytearray] = {}
         for batch in batches:
             for u, h, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                content = http_response((h or "").encode("utf-8", "surrogatepass"))
-                held.setdefault(v, []).append((u or "", "20240101000000", content))
-                size[v] = size.get(v, 0) + len(content)
-                if size[v] > 4_000_000:
-                    size[v] = 0
-                    yield made(v)
-        for v in sorted(held):
-            yield made(v)
+                first, *rest = arc_records(v or 1, [(u or "", "20240101000000", http_response((h or "").encode("utf-8", "surrogatepass")))])
+                if v not in held:
+                    held[v] = bytearray(member(first))
+                for record in rest:
+                    held[v] += member(record)
+                if len(held[v]) > FILE:
+                    yield _binary(bytes(held.pop(v)))
+        for v in list(held):
+            yield _binary(bytes(held.pop(v)))
 
-    rows = pages.select(F.col(uri), F.col(html), F.col(version)).coalesce(tasks_for(pages, 32)).mapInArrow(run, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", 16).text(path)
+    rows = pages.select(F.col(uri).alias("u"), F.col(html).alias("h"), F.col(version).alias("v"))
+    _written(rows.coalesce(tasks_for(pages, 32)).mapInArrow(run, "value binary"), path)
 
 
 def _opened(content: bytes):
@@ -108,43 +130,78 @@ def parse_arc(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]
         yield here, version, dict(zip(names, [" ".join(parts[: spare + 1]), *parts[spare + 1 :]], strict=True)), block
 
 
-def _arc_rows(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
+def _content(url: str, block: bytes) -> tuple[str, int]:
+    """(record type, where the payload begins) of a record."""
+    if url.startswith("filedesc://"):
+        return "warcinfo", 0
+    if not block.startswith(b"HTTP/"):
+        return "resource", 0
+    cut = block.find(b"\r\n\r\n") + 4
+    return "response", cut if cut >= 4 else len(block)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+
+def arc_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, kind, target_uri, date, payload_bytes, payload_digest) of all records of the ARC files under path."""
     importable(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64() if x.endswith("long") else pa.string() for x in _KEYS.split(", ")]
         for batch in batches:
             for i in range(batch.num_rows):
-                name, rows, held = batch.column(0)[i].as_py(), [], 0
-                for place, version, f, block in parse_arc(batch.column(1)[i].as_py()):
-                    url = f["URL"]
-                    kind = "warcinfo" if url.startswith("filedesc://") else "response" if block.startswith(b"HTTP/") else "resource"
-                    cut = block.find(b"\r\n\r\n") + 4 if kind == "response" else 0
-                    cut = len(block) if kind == "response" and cut < 4 else cut
-                    payload = block[cut:]
-                    rows.append((name, place, version, kind, url, f.get("IP-address", "0.0.0.0"), f.get("Archive-date", ""), f.get("Content-type", ""), block[:cut] if payloads else None, payload if payloads else None, len(payload), hashlib.sha1(payload).hexdigest()))
-                    held += len(block)
-                    if held > 8_000_000 or len(rows) >= 5000:
-                        yield _arrow(rows)
-                        rows, held = [], 0
+                name, rows = batch.column(0)[i].as_py(), []
+                for place, _, f, block in parse_arc(batch.column(1)[i].as_py()):
+                    kind, cut = _content(f["URL"], block)
+                    rows.append((name, place, kind, f["URL"], f.get("Archive-date", ""), len(block) - cut, hashlib.sha1(memoryview(block)[cut:]).hexdigest()))
                 if rows:
-                    yield _arrow(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], _NAMES)
 
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, _PARSED)
+    return _files(spark, path).mapInArrow(run, _KEYS)
 
 
-def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in _PARSED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
-
-
-def _identifier(uri: str, date: str, digest: str, file: str, place: str) -> str:
-    h = f"sha1(concat_ws('|', {uri}, {date}, {digest}, {file}, {place}))"
-    return f"concat('<urn:uuid:', substr({h}, 1, 8), '-', substr({h}, 9, 4), '-5', substr({h}, 14, 3), '-8', substr({h}, 18, 3), '-', substr({h}, 21, 12), '>')"
+def _identifier(uri: str, date: str, digest: str, file: str, place: int) -> str:
+    h = hashlib.sha1("|".join((uri, date, digest, file, str(place))).encode("utf-8", "surrogatepass")).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-8{h[17:20]}-{h[20:32]}>"
 
 
 def _timestamp(date: str) -> str:
-    d = f"rpad({date}, 14, '0')"
-    return f"concat(substr({d}, 1, 4), '-', substr({d}, 5, 2), '-', substr({d}, 7, 2), 'T', substr({d}, 9, 2), ':', substr({d}, 11, 2), ':', substr({d}, 13, 2), 'Z')"
+    d = date.ljust(14, "0")
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def warc_record(file: str, place: int, version: int, fields: dict[str, str], block: bytes, first: dict | None = None) -> bytes:
+    """The WARC record of an ARC record; with ``first``, its response's (uri, date, file, place), a revisit of that."""
+    url, date = fields["URL"], fields.get("Archive-date", "")
+    kind, cut = _content(url, block)
+    payload = memoryview(block)[cut:]
+    digest = hashlib.sha1(payload).hexdigest()
+    lines = [("WARC-Type", "revisit" if first else kind), ("WARC-Record-ID", _identifier(url, date, digest, file, place)), ("WARC-Date", _timestamp(date))]
+    about = {"warcinfo": "application/warc-fields", "resource": fields.get("Content-type", "")}.get(kind, "application/http; msgtype=response")
+    if kind == "warcinfo":
+        block = f"software: arborlake\r\nformat: WARC File Format 1.1\r\nsource: ARC version {version}\r\n".encode()
+        lines.append(("WARC-Filename", file))
+    else:
+        lines += [("WARC-Target-URI", url), ("WARC-IP-Address", fields.get("IP-address", "0.0.0.0")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(payload))]
+    if first:
+        block = block[:cut]
+        lines.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+        lines.append(("WARC-Refers-To", _identifier(first["uri"], first["date"], digest, first["file"], first["place"])))
+        lines += [("WARC-Refers-To-Target-URI", first["uri"]), ("WARC-Refers-To-Date", _timestamp(first["date"]))]
+    lines += [("Content-Type", about), ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"), ("Content-Length", len(block))]
+    head = "".join(f"{name}: {value}\r\n" for name, value in lines)
+    return f"WARC/1.1\r\n{head}\r\n".encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
+
+
+def revisits(spark: SparkSession, arc_path: str, *, least: int = 1000, rank: str = "struct(date, target_uri)") -> DataFrame:
+    """(file, list): for each ARC file the places of its revisits, each with its response's uri, date, file and place."""
+    keys = stored(arc_keys(spark, arc_path).filter((F.col("kind") == "response") & (F.col("payload_bytes") >= least)).withColumn("rank", F.expr(rank)), "arc-keys")
+    best = F.max(F.when(F.col("rank").isNotNull(), F.struct("rank", F.col("target_uri").alias("uri"), "date", "file", "place"))).alias("best")
+    first = keys.groupBy("payload_digest").agg(best, F.count("*").alias("n")).filter("n > 1 AND best IS NOT NULL")
+    found = joined(keys, first, "payload_digest", keys.count()).filter("NOT (rank <=> best.rank)")
+    return found.groupBy("file").agg(F.collect_list(F.struct("place", F.struct("best.uri", "best.date", "best.file", "best.place").alias("first"))).alias("list"))
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least: int = 1000, rank: str = "struct(date, target_uri)") -> None:
@@ -153,34 +210,24 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least: int =
     Records that tie for the highest rank are all responses. A null rank is below all others. Empty payloads
     and files without records are fine; a damaged file raises ValueError.
     """
-    of = [c for c in _NAMES if c not in ("head", "payload")]
-    keys = _arc_rows(spark, arc_path, payloads=False).select(*of).filter((F.col("kind") == "response") & (F.col("payload_bytes") >= least))
-    keys = keys.withColumn("rank", F.expr(rank))
-    best = F.max(F.when(F.col("rank").isNotNull(), F.struct("rank", "target_uri", "date", "file", "place"))).alias("best")
-    first = keys.groupBy("payload_digest").agg(best, F.count("*").alias("copies")).filter("copies > 1 AND best IS NOT NULL").select(F.col("payload_digest").alias("_digest"), "best")
-    rows, tasks = _arc_rows(spark, arc_path, payloads=True).withColumn("rank", F.expr(rank)), tasks_for(spark.read.format("binaryFile").load(arc_path), 32)
-    both = rows.join(first, (F.col("payload_digest") == F.col("_digest")) & (F.col("kind") == "response") & (F.col("payload_bytes") >= least), "left")
-    both = both.withColumn("type", F.expr("CASE WHEN best IS NOT NULL AND NOT (rank <=> best.rank) THEN 'revisit' ELSE kind END"))
-    info = "concat('software: arborlake\\r\\nformat: WARC File Format 1.1\\r\\nsource: ARC version ', version, '\\r\\n')"
-    block = f"""CASE type WHEN 'warcinfo' THEN CAST({info} AS BINARY) WHEN 'revisit' THEN head ELSE concat(head, payload) END"""
-    both = both.withColumn("block", F.expr(block))
-    line = lambda name, value: f"concat('{name}: ', {value}, '\\r\\n')"
-    header = ", ".join(
-        [
-            "'WARC/1.1\\r\\n'",
-            line("WARC-Type", "type"),
-            line("WARC-Record-ID", _identifier("target_uri", "date", "payload_digest", "file", "place")),
-            line("WARC-Date", _timestamp("date")),
-            f"CASE WHEN type = 'warcinfo' THEN {line('WARC-Filename', 'file')} ELSE concat({line('WARC-Target-URI', 'target_uri')}, {line('WARC-IP-Address', 'ip')}, {line('WARC-Payload-Digest', "'sha1:', payload_digest")}, {line('X-Payload-Length', 'payload_bytes')}) END",
-            f"CASE WHEN type = 'revisit' THEN concat('WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\\r\\n', {line('WARC-Refers-To', _identifier('best.target_uri', 'best.date', 'payload_digest', 'best.file', 'best.place'))}, {line('WARC-Refers-To-Target-URI', 'best.target_uri')}, {line('WARC-Refers-To-Date', _timestamp('best.date'))}) ELSE '' END",
-            line("Content-Type", "CASE type WHEN 'warcinfo' THEN 'application/warc-fields' WHEN 'resource' THEN content_type ELSE 'application/http; msgtype=response' END"),
-            line("WARC-Block-Digest", "'sha1:', sha1(block)"),
-            line("Content-Length", "octet_length(block)"),
-            "'\\r\\n'",
-        ]
-    )
-    record = both.select(F.expr(f"CAST(concat(CAST(concat({header}) AS BINARY), block) AS STRING)").alias("value"))
-    record.coalesce(tasks).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(warc_path)
+    importable(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bytearray()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, first = batch.column(0)[i].as_py(), {x["place"]: x["first"] for x in batch.column(2)[i].as_py() or ()}
+                for place, version, fields, block in parse_arc(batch.column(1)[i].as_py()):
+                    held += member(warc_record(name, place, version, fields, block, first.get(place)))
+                    if len(held) > FILE:
+                        yield _binary(bytes(held))
+                        held = bytearray()
+        if held:
+            yield _binary(bytes(held))
+
+    files = _files(spark, arc_path)
+    both = files.join(revisits(spark, arc_path, least=least, rank=rank), "file", "left").select("file", "content", "list")
+    _written(both.coalesce(tasks_for(files, 32)).mapInArrow(run, "value binary"), warc_path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -204,6 +251,7 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, type, target_uri, date, payload_bytes, payload_digest, refers_to_uri) of all but warcinfo records.
 
+    Files without records give no rows; repeated records stay; a damaged record raises ValueError.
     Digest and length of responses and resources are of the payload as read; those of revisits are as noted.
     """
     importable(spark)

@@ -207,9 +207,33 @@ def test_archives(spark, tmp_path):
     assert warc.pages_through_archives(pages(spark).limit(0)).count() == 0
 
 
+def test_each_record_is_a_gzip_member(spark, tmp_path):
+    rows = pages(spark).select("page_id", "html", F.concat(F.coalesce("url", F.lit("")), F.lit("#"), F.coalesce("page_id", F.lit(0)).cast("string")).alias("u"), (1 + F.col("page_id") % 2).cast("int").alias("v"))
+    warc.write_arc(rows, f"{tmp_path}/arc", uri="u", html="html", version="v")
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    for kind in ("arc", "warc"):
+        found = []
+        for path in sorted((tmp_path / kind).glob("part-*")):
+            rest = path.read_bytes()
+            while rest.strip(b"\0"):
+                one = zlib.decompressobj(31)
+                found.append(one.decompress(rest))
+                assert one.eof and (one.unused_data.startswith(b"\x1f\x8b") or not one.unused_data.strip(b"\0"))
+                rest = one.unused_data
+        if kind == "warc":
+            heads = [r.split(b"\r\n\r\n", 1)[0] for r in found]
+            assert all(r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") and len(list(warc.parse_warc(r))) == 1 for r in found)
+            ids = {h.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for h in heads}
+            refers = [h.split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0] for h in heads if b"WARC-Refers-To: " in h]
+            assert refers and set(refers) <= ids
+        else:
+            assert sum(r.startswith(b"filedesc://") for r in found) >= 1
+        assert len([r for r in found if b"filedesc" not in r[:20] and b"WARC-Type: warcinfo" not in r]) == rows.count()
+
+
 def test_arc_versions_and_damage():
     for version in (1, 2):
-        content = warc.arc_segment(version, [("http://a b", "20010203040506", b"one\n\ntwo"), ("dns:x", "2001", b"")]) + b"\n"
+        content = b"".join(warc.arc_records(version, [("http://a b", "20010203040506", b"one\n\ntwo"), ("dns:x", "2001", b"")]))
         records = list(warc.parse_arc(content + content))
         assert [(r[1], r[2]["URL"], r[3]) for r in records[1:3]] == [(version, "http://a%20b", b"one\n\ntwo"), (version, "dns:x", b"")] and len(records) == 6
         assert ("Result-code" in records[1][2]) == (version == 2)
