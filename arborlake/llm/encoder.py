@@ -16,8 +16,8 @@ import re
 
 import numpy as np
 
-#: Stretches kept by one worker; beyond it the table starts anew, which changes no result.
-KEPT = 1_000_000
+#: Stretches kept by one worker, half of them as an older table; which are kept changes no result.
+KEPT = 500_000
 _SPACED = re.compile(r"\s*+[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\s.,])|\s*+\S++|\s+")
 _WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\s.,])|\S+")
 #: Python's white space but not the vocabulary's: texts with these are encoded in one stretch.
@@ -38,10 +38,13 @@ class Encoder:
     def __init__(self, path: str, offsets: bool = False, kept: int = KEPT) -> None:
         self.tokenizer, self.offsets, self.kept = tokenizer(path), offsets, kept
         self.spaced = self.tokenizer.normalizer is None  # the byte vocabulary keeps white space
-        self._clear()
-
-    def _clear(self) -> None:
         self.index: dict = {}
+        self._renew()
+
+    def _renew(self) -> None:
+        """Makes the table the older one; what is met again moves to the new one without the library."""
+        self.older = (self.index, self.pool, self.spans, self.first, self.count) if self.index else ({}, *[None] * 4)
+        self.index = {}
         self.used = 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.spans = np.zeros((1 << 16, 2), np.int32) if self.offsets else None
@@ -72,29 +75,43 @@ class Encoder:
         spans = [s for e in done for s in e.offsets] if self.offsets else None
         return np.concatenate([np.array(e.ids, np.uint32) for e in done]), count, spans
 
+    def _moved(self, known: list):
+        """What _encoded() gives, for stretches of the older table."""
+        index, pool, spans, first, count = self.older
+        row = np.fromiter(map(index.__getitem__, known), np.int64, len(known))
+        size = count[row]
+        at = np.repeat(first[row] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return pool[at], size, spans[at] if self.offsets else None
+
     def _learn(self, fresh: list) -> None:
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            flat, count, spans = self._encoded(some)
-            rows = len(self.index)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-                if self.offsets:
-                    self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
-            while rows + len(some) > len(self.first):
-                self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-            self.pool[self.used : self.used + len(flat)] = flat
-            if self.offsets and len(flat):
-                self.spans[self.used : self.used + len(flat)] = spans
-            self.first[rows : rows + len(some)] = self.used + np.cumsum(count) - count
-            self.count[rows : rows + len(some)] = count
-            self.used += len(flat)
-            self.index.update(zip(some, range(rows, rows + len(some)), strict=True))
+        older = self.older[0]
+        known = [w for w in fresh if w in older] if older else []
+        unknown = [w for w in fresh if w not in older] if known else fresh
+        for table, source in ((known, self._moved), (unknown, self._encoded)):
+            for at in range(0, len(table), 20_000):
+                some = table[at : at + 20_000]
+                self._keep(some, *source(some))
+
+    def _keep(self, some: list, flat: np.ndarray, count: np.ndarray, spans) -> None:
+        rows = len(self.index)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            if self.offsets:
+                self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
+        while rows + len(some) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.pool[self.used : self.used + len(flat)] = flat
+        if self.offsets and len(flat):
+            self.spans[self.used : self.used + len(flat)] = spans
+        self.first[rows : rows + len(some)] = self.used + np.cumsum(count) - count
+        self.count[rows : rows + len(some)] = count
+        self.used += len(flat)
+        self.index.update(zip(some, range(rows, rows + len(some)), strict=True))
 
     def encode(self, texts: list[str]):
         """(ids of all texts in a row, number of ids of each text[, starts, ends in characters of the text])."""
-        if len(self.index) > self.kept:
-            self._clear()
+        if 2 * len(self.index) > self.kept:
+            self._renew()
         words: list = []
         ends = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):

@@ -380,25 +380,33 @@ def candidates(postings: DataFrame, similarity: float, *, block: int = BLOCK) ->
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        def batch_of(a: list, b: list) -> pa.RecordBatch:
+            a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        def made(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b, held = [], [], 0
             for i in range(len(node) - 1):
                 least = similarity / (1 + similarity) * (n[i] + n[i + 1 :]) - 1e-6
                 ok = (root[i + 1 :] != root[i]) & (np.minimum(n[i], n[i + 1 :]) >= least) & (np.minimum(n[i] - pos[i], n[i + 1 :] - pos[i + 1 :]) >= least)
                 b.append(node[i + 1 :][ok])
                 a.append(np.full(len(b[-1]), node[i]))
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                held += len(b[-1])
+                if held > 200_000:
+                    yield batch_of(a, b)
+                    a, b, held = [], [], 0
+            if held:
+                yield batch_of(a, b)
 
         held = [np.zeros(0, np.int64)] * 7
         for batch in batches:
             held = [np.concatenate((k, c.to_numpy(zero_copy_only=False))) for k, c in zip(held, batch.columns, strict=True)]
             starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:3]], axis=0)) + 1
             for x, y in zip([0, *starts.tolist()], starts.tolist(), strict=False):
-                yield made(*(c[x:y] for c in held[3:]))
+                yield from made(*(c[x:y] for c in held[3:]))
             held = [c[starts[-1] if len(starts) else 0 :] for c in held]
         if len(held[0]) > 1:
-            yield made(*(c for c in held[3:]))
+            yield from made(*(c for c in held[3:]))
 
     grouped = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
     return grouped.select("s", F.col("i").cast("long"), F.col("j").cast("long"), "node", "n", F.col("pos").cast("long"), "root").mapInArrow(run, "a long, b long").distinct()
