@@ -1,26 +1,60 @@
 """Media columns: types by signature, checked by structure, with embedded media carved out.
 
 An Aho-Corasick automaton finds magic bytes of all known formats in one pass. At each hit the format's
-validator walks its structure and gives the length, or says no. The type at offset 0 corrects a declared
-type; hits elsewhere that validate and do not lie within another embedded one are embedded media.
+validator walks its structure and gives the length that it declares, or says no. The type at offset 0 corrects a
+declared type; hits elsewhere that validate and do not lie within another embedded one are embedded media. What
+validators look for far from a hit is found once for all hits, so time grows with the bytes alone. FLAC declares no
+length; it is recognised as a whole only and never carved.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from arborlake.llm.shared import importable
+from arborlake.llm.shared import importable, stored
 
 #: Rate of the stored sounds, and the unit that payloads are padded to.
 RATE, UNIT = 8000, 64
-DECLARED = ("audio/wav", "image/png", "application/octet-stream")
+#: What is said of a stored text before its bytes are looked at.
+DECLARED = "text/plain"
+
+
+class Media(bytes):
+    """Bytes, with places that are found once: the starts and ends of ZIP archives and PDF documents in them."""
+
+    def zips(self) -> dict[int, int]:
+        """{start: end} by each end record: it says how long the entries and their directory before it are."""
+        if not hasattr(self, "_zips"):
+            self._zips = {}
+            for m in re.finditer(b"PK\x05\x06", self):
+                end = m.start()
+                if end + 22 <= len(self):
+                    size, offset, note = *struct.unpack_from("<II", self, end + 12), int.from_bytes(self[end + 20 : end + 22], "little")
+                    if end + 22 + note <= len(self) and end - size - offset >= 0:
+                        self._zips.setdefault(end - size - offset, end + 22 + note)
+        return self._zips
+
+    def pdfs(self) -> dict[int, int]:
+        """{start: end} by each trailer, which says how far its cross-reference is from the start; updates make the end later."""
+        if not hasattr(self, "_pdfs"):
+            self._pdfs = {}
+            tables = [m.start() for m in re.finditer(rb"(?<![a-z])xref\b|(?<![0-9])[0-9]{1,10} [0-9]{1,5} obj\b", self)]
+            for m in re.finditer(rb"startxref\s{1,4}([0-9]{1,12})\s{1,4}%%EOF", self):
+                at, place = bisect_left(tables, m.start()) - 1, int(m[1])
+                if at >= 0 and tables[at] >= place:
+                    self._pdfs[tables[at] - place] = m.end()
+                if 0 < place < m.start() and re.match(rb"xref\b|[0-9]+ [0-9]+ obj\b", self[place : place + 24]):
+                    self._pdfs[0] = m.end()  # a document of its own, whatever order it is written in
+        return self._pdfs
 
 
 def _riff(b: bytes, at: int) -> tuple[str, int] | None:
@@ -73,18 +107,31 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
-        if b[p + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", p)
-            return ("image/jpeg", end + 2 - at) if end > 0 else None
-        p += 2 + int.from_bytes(b[p + 2 : p + 4], "big")
+    """Segments by their lengths; after a scan's header its data, in which only stuffed bytes and restarts follow an FF."""
+    p, scans = at + 2, 0
+    while p + 2 <= len(b) and b[p] == 0xFF:
+        kind = b[p + 1]
+        if kind == 0xD9:
+            return ("image/jpeg", p + 2 - at) if scans else None
+        if kind == 0xFF:
+            p += 1
+            continue
+        length = int.from_bytes(b[p + 2 : p + 4], "big")
+        if kind < 0xC0 or 0xD0 <= kind <= 0xD8 or length < 2:
+            return None
+        p += 2 + length
+        if kind == 0xDA:
+            scans += 1
+            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
+                p += 2
+            if p < 0:
+                return None
     return None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end > 0 and b.find(b"startxref", at, end) > 0 else None
+def _pdf(b: Media, at: int) -> tuple[str, int] | None:
+    end = b.pdfs().get(at)
+    return ("application/pdf", end - at) if end and end > at else None
 
 
 def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
@@ -101,12 +148,9 @@ def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
     return ("application/gzip", min(p, len(b)) - at - len(d.unused_data)) if d.eof else None
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b) or at + 30 > len(b):
-        return None
-    size, offset, note = *struct.unpack_from("<II", b, end + 12), int.from_bytes(b[end + 20 : end + 22], "little")
-    return ("application/zip", end + 22 + note - at) if at + offset + size == end and end + 22 + note <= len(b) else None
+def _zip(b: Media, at: int) -> tuple[str, int] | None:
+    end = b.zips().get(at)
+    return ("application/zip", end - at) if end else None
 
 
 def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
@@ -117,15 +161,45 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _flac(b: bytes, at: int) -> tuple[str, int] | None:
-    return ("audio/flac", len(b) - at) if b[at + 4 : at + 8] in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22") else None
+    """Whole files only: the stream's description, metadata blocks by their lengths, then a frame whose header's checksum holds."""
+    if at or b[5:8] != b"\x00\x00\x22" or b[4] & 0x7F:
+        return None
+    least, rate = int.from_bytes(b[8:10], "big"), int.from_bytes(b[18:21], "big") >> 4
+    p, last = 4, False
+    while not last and p + 4 <= len(b):
+        last = bool(b[p] & 0x80)
+        p += 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+    if not last or least < 16 or not rate or p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8:
+        return None
+    first = b[p + 4]
+    size = 5 + (0 if first < 0x80 else 8 - (first ^ 0xFF).bit_length() - 1) + {6: 1, 7: 2}.get(b[p + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[p + 2] & 15, 0)
+    crc = 0
+    for x in b[p : p + size]:
+        crc ^= x
+        for _ in range(8):
+            crc = (crc << 1 ^ 7) & 0xFF if crc & 0x80 else crc << 1
+    return ("audio/flac", len(b)) if p + size < len(b) and crc == b[p + size] else None
+
+
+_MIRRORED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def _ogg_checksum(page: bytes) -> int:
+    """CRC-32 with the highest bit first, from zlib's, which has it last."""
+    mirrored = zlib.crc32(page.translate(_MIRRORED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{mirrored:032b}"[::-1], 2)
 
 
 def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
     p = at
     while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0:
         segments = b[p + 26]
-        p += 27 + segments + sum(b[p + 27 : p + 27 + segments])
-    return ("audio/ogg", p - at) if at < p <= len(b) else None
+        end = p + 27 + segments + sum(b[p + 27 : p + 27 + segments])
+        page = b[p:end]
+        if end > len(b) or _ogg_checksum(page[:22] + bytes(4) + page[26:]) != int.from_bytes(page[22:26], "little"):
+            break
+        p = end
+    return ("audio/ogg", p - at) if p > at else None
 
 
 #: Each format's leading bytes.
@@ -158,9 +232,13 @@ def automaton():
 
 
 def sniff(b: bytes | None, declared: str | None = None) -> tuple[str, list[tuple[str, int, int]]]:
-    """(type, [(embedded type, offset, length)]); an unknown type stays as declared, then octet-stream."""
+    """(type, [(embedded type, offset, length)]); an unknown type stays as declared, then octet-stream.
+
+    Null and empty media embed nothing. Of hits within one another the first to begin counts.
+    """
     kind, embedded, till = declared or "application/octet-stream", [], 0
-    for last, magic in automaton().iter((b or b"").decode("latin-1")):
+    b = Media(b or b"")
+    for last, magic in automaton().iter(b.decode("latin-1")):
         at = last - len(magic) + 1
         if at and at < till:
             continue
@@ -223,7 +301,7 @@ def feature(payload: bytes, kind: str, embedded: list[tuple[str, int, int]]) ->
 
 
 def store(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_bytes, declared, media): each text as a stored sound, under a type that is often wrong.
+    """(id, n_bytes, declared, media): each text as a stored sound, declared as text.
 
     Null texts are empty; null and repeated ids stay; an empty table gives no rows; other columns are ignored.
     """
@@ -234,28 +312,36 @@ def store(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 made = [padded(t) for t in part.column(1).to_pylist()]
-                said = [DECLARED[zlib.crc32(p) % len(DECLARED)] for p, _ in made]
+                said = [DECLARED] * len(made)
                 columns = [part.column(0), pa.array([n for _, n in made], pa.int64()), pa.array(said), pa.array([to_wav(p) for p, _ in made], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [id_column, "n_bytes", "declared", "media"])
 
     return docs.select(docs[id_column].cast("long").alias(id_column), text_column).mapInArrow(run, f"{id_column} long, n_bytes long, declared string, media binary")
 
 
-def read_back(stored: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
-    """Digests and features of stored sounds: their type is sniffed, the samples come from the bytes."""
-    importable(stored.sparkSession)
-    names = [id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "type"]
+def through_media(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """read_back() of a media column of all texts, written to the shared folder in between."""
+    return read_back(stored(store(docs, id_column=id_column, text_column=text_column), "media", like=docs), id_column=id_column)
+
+
+def read_back(media: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
+    """Digests and features of stored sounds: their type is sniffed, the samples come from the bytes; n_embedded media are within.
+
+    Repeated rows and null ids stay; an empty table gives no rows.
+    """
+    importable(media.sparkSession)
+    names = [id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "type", "n_embedded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for declared, media in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                kind, embedded = sniff(media, declared)
-                p = from_wav(media)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(p, kind, embedded), declared, kind))
+            for declared, content in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                kind, embedded = sniff(content, declared)
+                p = from_wav(content)
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(content), hashlib.sha256(content).hexdigest(), feature(p, kind, embedded), declared, kind, len(embedded)))
             columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
-    kinds = ("long", "long", "long", "string", "long", "long", "string", "string", "string", "string")
-    return stored.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    kinds = ("long", "long", "long", "string", "long", "long", "string", "string", "string", "string", "long")
+    return media.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))

@@ -40,7 +40,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.store(_table(spark, sf_dir, "documents"))).drop("declared", "type")
+    return media.through_media(_table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

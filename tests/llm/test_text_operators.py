@@ -154,7 +154,7 @@ def test_token_counts(spark, rule):
 
 def test_media(spark):
     df = table(spark)
-    rows = media.read_back(media.store(df)).collect()
+    rows = media.through_media(df).collect()
     assert len(rows) == df.count()
     texts = {r.doc_id: r.text for r in df.collect()}
     for r in rows:
@@ -174,19 +174,59 @@ def test_sniffing_corrects_types_and_carves():
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
     gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02xyz\xff\xd9"
-    pdf = b"%PDF-1.4 ... startxref\n9\n%%EOF"
+    pdf = b"%PDF-1.4 ... xref\n0 0\nstartxref\n13\n%%EOF"
+    thumbnail = b"\xff\xd8\xff\xe1" + struct.pack(">H", 2 + len(jpeg)) + jpeg + b"\xff\xda\x00\x02x\xff\x00y\xff\xd3z\xff\xda\x00\x02w\xff\xd9"
+    page = b"OggS\0\x02" + bytes(8) + struct.pack("<III", 7, 0, 0) + b"\x01\x05hello"
+    ogg = page[:22] + struct.pack("<I", slow_ogg_checksum(page)) + page[26:]
+    updated = pdf + b"\n1 0 obj\nendobj\nxref\n0 0\nstartxref\n%d\n%%%%EOF" % (len(pdf) + 16)
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as z:
         z.writestr("a", "b")
     wav = media.to_wav(b"\x80" * 64)
-    found = {"image/png": png, "image/gif": gif, "image/jpeg": jpeg, "application/pdf": pdf, "application/zip": packed.getvalue(), "audio/wav": wav, "application/gzip": gzip.compress(b"text")}
+    found = {"image/png": png, "image/gif": gif, "image/jpeg": jpeg, "application/pdf": pdf, "application/zip": packed.getvalue(), "audio/wav": wav, "application/gzip": gzip.compress(b"text"), "audio/ogg": ogg}
     for kind, b in found.items():
         assert media.sniff(b, "text/plain") == (kind, [])
         assert media.sniff(b"some text " + b + b" more", "text/plain") == ("text/plain", [(kind, 10, len(b))]), kind
+    assert media.sniff(b"pre" + thumbnail + b"post")[1] == [("image/jpeg", 3, len(thumbnail))] and media.sniff(b"pre" + updated + b" post")[1] == [("application/pdf", 3, len(updated))]
+    assert media.sniff(ogg[:-1] + b"O")[1] == [] and media.sniff(b"some fLaC\x00\x00\x00\x22 plain text")[1] == [] and media.sniff(b"fLaC\x00\x00\x00\x22" + b"plain text " * 9)[0] == "application/octet-stream"
     assert media.sniff(png[:-3], "image/png") == ("image/png", []) and media.sniff(b"RIFF and PK\x03\x04 BM OggS", None)[1] == []
     assert media.sniff(None) == ("application/octet-stream", []) and media.sniff(b"", "a/b")[0] == "a/b"
 
 
+def slow_ogg_checksum(data):
+    crc = 0
+    for x in data:
+        crc ^= x << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x04C11DB7 if crc >> 31 else crc << 1) & 0xFFFFFFFF
+    return crc
+
+
+def test_many_magic_bytes_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (40_000, 160_000):
+        began = time.process_time()
+        for magic in (b"%PDF-", b"PK\x03\x04 a longer zip header, but no more", b"%PDF-1.4 startxref 3 %%EOF ", b"\xff\xd8\xff\xda\x00\x02 ", b"OggS\0", b"1 0 obj "):
+            media.sniff(magic * (n // len(magic)))
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_a_media_column_is_sniffed_and_carved(spark):
+    wav, rows = media.to_wav(b"\x10" * 64), []
+    for i, content in enumerate([wav, b"head" + wav + b"mid" + wav + b"tail", b"", None, b"plain", wav[:-1]]):
+        rows.append((i, content, "image/png", "clash"))
+    df = spark.createDataFrame([*rows, (None, wav, None, "clash"), rows[0]], "doc_id long, media binary, said string, type string")
+    got = {r.doc_id: r for r in media.sniff_column(df, "media", "said").collect()}
+    assert media.sniff_column(df, "media", "said").count() == 8 and media.sniff_column(df.limit(0), "media").count() == 0
+    assert [got[i].type for i in range(6)] == ["audio/wav"] + ["image/png"] * 5 and got[None].type == "audio/wav" and got[None].declared is None
+    assert [(e.type, e.offset, e.length, bytes(e.content) == wav) for e in got[1].embedded] == [("audio/wav", 4, len(wav), True), ("audio/wav", 7 + len(wav), len(wav), True)]
+    assert all(got[i].embedded == [] for i in (0, 2, 3, 4, 5))
+    assert media.sniff_column(df, "media").filter("doc_id = 4").first().type == "application/octet-stream"
+
+
 def pages(spark):
     big = "<p>" + "x" * 2000 + "é</p>"
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, "http://a 3", "small"), (4, "http://a/4", "small"), (5, None, None), (6, "http://a/6", ""), (7, "http://a/7", big + "!"), (9, "http://a/9", big), (9, "http://a/9", big), (8, "u", "\r\n\r\nWARC/1.1\r\n" * 90)]
