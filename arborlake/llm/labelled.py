@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import importable
+from arborlake.llm.shared import importable, tidy
 
 
 def fold(id_column: str, folds: int):
@@ -40,7 +40,7 @@ def gathered(rows: DataFrame, features: Callable[[list[str]], list[pa.Array]], k
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), *made], ["_id", "label", *kinds])
 
     schema = ", ".join(["_id long, label int", *(f"{name} {kind}" for name, kind in kinds.items())])
-    return rows.mapInArrow(run, schema).toArrow().sort_by("_id")
+    return rows.mapInArrow(tidy(run), schema).toArrow().sort_by("_id")
 
 
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], *, folds: int, held_out: int, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -52,5 +52,5 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], *, folds:
             found = score([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.asarray(found, np.float64))], [id_column, "score"])
 
-    out = docs.select(F.col(id_column).cast("long").alias(id_column), text_column).mapInArrow(run, f"{id_column} long, score double")
+    out = docs.select(F.col(id_column).cast("long").alias(id_column), text_column).mapInArrow(tidy(run), f"{id_column} long, score double")
     return out.select(id_column, F.coalesce(fold(id_column, folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from arborlake.llm.encoder import encoder
-from arborlake.llm.shared import importable, pieces
+from arborlake.llm.shared import importable, pieces, tidy
 
 RULES = ("start", "majority")
 
@@ -75,4 +75,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_column: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *map(pa.array, columns)], names)
 
     kept = docs.select(docs[id_column].cast("long").alias(id_column), text_column)
-    return kept.mapInArrow(run, f"{id_column} long, section long, start long, `end` long, n_tokens long, n_crossing long")
+    return kept.mapInArrow(tidy(run), f"{id_column} long, section long, start long, `end` long, n_tokens long, n_crossing long")

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from arborlake.llm import coder
 from arborlake.llm.encoder import encoder
-from arborlake.llm.shared import importable, new_path, pieces, stored
+from arborlake.llm.shared import importable, new_path, pieces, stored, tidy
 
 FRAME = struct.Struct("<4sQIIQII")
 MAGIC = b"TKF1"
@@ -91,7 +91,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_column: str =
             yield made()
 
     ordered = docs.select(F.col(id_column).cast("long").alias("k"), F.col(text_column).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
-    coded = ordered.mapInArrow(run, "frame binary")
+    coded = ordered.mapInArrow(tidy(run), "frame binary")
     coded.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 16).text(path)
 
 
@@ -111,7 +111,7 @@ def read_tokens(spark: SparkSession, path: str, *, id_column: str = "doc_id") ->
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, f"{id_column} long, part long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(tidy(run), f"{id_column} long, part long, start long, n_tokens long, ids_crc32 long")
 
 
 def placed(read: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
