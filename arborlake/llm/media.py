@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from arborlake.llm.shared import importable, stored
+from arborlake.llm.shared import importable, stored, tidy
 
 #: Rate of the stored sounds, and the unit that payloads are padded to.
 RATE, UNIT = 8000, 64
@@ -268,7 +268,7 @@ def sniff_column(df: DataFrame, media: str, declared: str | None = None, *, id_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array([k for k, _ in found]), pa.array(carved, inner)], [id_column, "declared", "type", "embedded"])
 
     columns = [df[id_column].cast("long").alias(id_column), media, *([declared] if declared else [])]
-    return df.select(*columns).mapInArrow(run, f"{id_column} long, declared string, type string, embedded array<struct<type: string, offset: long, length: long, content: binary>>")
+    return df.select(*columns).mapInArrow(tidy(run), f"{id_column} long, declared string, type string, embedded array<struct<type: string, offset: long, length: long, content: binary>>")
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -316,7 +316,7 @@ def store(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
                 columns = [part.column(0), pa.array([n for _, n in made], pa.int64()), pa.array(said), pa.array([to_wav(p) for p, _ in made], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [id_column, "n_bytes", "declared", "media"])
 
-    return docs.select(docs[id_column].cast("long").alias(id_column), text_column).mapInArrow(run, f"{id_column} long, n_bytes long, declared string, media binary")
+    return docs.select(docs[id_column].cast("long").alias(id_column), text_column).mapInArrow(tidy(run), f"{id_column} long, n_bytes long, declared string, media binary")
 
 
 def through_media(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -344,4 +344,4 @@ def read_back(media: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
     kinds = ("long", "long", "long", "string", "long", "long", "string", "string", "string", "string", "long")
-    return media.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return media.mapInArrow(tidy(run), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from arborlake.llm.encoder import encoder
-from arborlake.llm.shared import importable, pieces, tasks_for
+from arborlake.llm.shared import importable, pieces, tasks_for, tidy
 
 SCHEMA = "{id} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -152,4 +152,4 @@ def pack_documents(
             _packed(held, capacity, first, rows)
             yield made()
 
-    return docs.select(id_column, text_column).coalesce(tasks_for(docs)).mapInArrow(run, SCHEMA.format(id=id_column))
+    return docs.select(id_column, text_column).coalesce(tasks_for(docs)).mapInArrow(tidy(run), SCHEMA.format(id=id_column))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import importable, joined, pieces, stored
+from arborlake.llm.shared import importable, joined, pieces, stored, tidy
 
 BITS = 64
 #: Fingerprints of a block; two blocks meet in one group at most.
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id_column, "fp"])
 
-    return docs.select(docs[id_column].cast("long").alias(id_column), text_column).mapInArrow(run, f"{id_column} long, fp long")
+    return docs.select(docs[id_column].cast("long").alias(id_column), text_column).mapInArrow(tidy(run), f"{id_column} long, fp long")
 
 
 def bit_counts(nodes: DataFrame) -> np.ndarray:
@@ -87,7 +87,7 @@ def bit_counts(nodes: DataFrame) -> np.ndarray:
                 total += np.rint(bits[at : at + 65_536].T @ bits[at : at + 65_536]).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(BITS), pa.int32()), pa.array(total.tolist(), pa.list_(pa.int64()))], ["i", "c"])
 
-    by = nodes.select("fp").mapInArrow(run, "i int, c array<long>").groupBy("i").agg(*(F.sum(F.col("c")[j]).alias(f"c{j}") for j in range(BITS)))
+    by = nodes.select("fp").mapInArrow(tidy(run), "i int, c array<long>").groupBy("i").agg(*(F.sum(F.col("c")[j]).alias(f"c{j}") for j in range(BITS)))
     out = np.zeros((BITS, BITS))
     for row in by.collect():
         out[row[0]] = [x or 0 for x in row[1:]]
@@ -219,7 +219,7 @@ def links(nodes: DataFrame, distance: int = 4, *, block: int = BLOCK) -> DataFra
             yield out
 
     grouped = dealt.repartition("slot", "v", "i", "j").sortWithinPartitions("slot", "v", "i", "j")
-    return grouped.select("slot", "v", "i", "j", "fp").mapInArrow(run, "a long, b long").distinct()
+    return grouped.select("slot", "v", "i", "j", "fp").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def connected(edges: DataFrame, *, most: int = 60, like: DataFrame | None = None) -> DataFrame:
@@ -283,7 +283,7 @@ def common_shingles(docs: DataFrame, text_column: str, shingle: int) -> tuple[np
                 found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts[part]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["s"])
 
-    some = docs.filter(F.pmod(F.xxhash64(text_column), F.lit(16)) == 0).select(text_column).mapInArrow(run, "s long")
+    some = docs.filter(F.pmod(F.xxhash64(text_column), F.lit(16)) == 0).select(text_column).mapInArrow(tidy(run), "s long")
     rows = some.groupBy("s").agg(F.count("*").alias("n")).filter("n > 3").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
     s, n = rows.column("s").to_numpy(), rows.column("n").to_numpy()
     order = np.argsort(s)
@@ -326,7 +326,7 @@ def prefixes(docs: DataFrame, similarity: float, *, id_column: str, text_column:
                 at += many
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, F.xxhash64(text_column).alias("h"), text_column).mapInArrow(run, f"`{id_column}` {kind}, h long, node long, n long, sketch array<long>, prefix array<long>")
+    return docs.select(id_column, F.xxhash64(text_column).alias("h"), text_column).mapInArrow(tidy(run), f"`{id_column}` {kind}, h long, node long, n long, sketch array<long>, prefix array<long>")
 
 
 def shared(postings: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def shared(postings: DataFrame) -> DataFrame:
         if known:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names)
 
-    return postings.select(*names).repartition("s").sortWithinPartitions("s", "node").mapInArrow(run, "s long, node long, n long, pos long")
+    return postings.select(*names).repartition("s").sortWithinPartitions("s", "node").mapInArrow(tidy(run), "s long, node long, n long, pos long")
 
 
 def neighbours(postings: DataFrame, similarity: float) -> DataFrame:
@@ -362,7 +362,7 @@ def neighbours(postings: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node[:-1][met]), pa.array(node[1:][met])], ["a", "b"])
             last = [c[-1:] for c in last]
 
-    return postings.repartition("s").sortWithinPartitions("s", "n", "node").select("s", "n", "node").mapInArrow(run, "a long, b long").distinct()
+    return postings.repartition("s").sortWithinPartitions("s", "n", "node").select("s", "n", "node").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def candidates(postings: DataFrame, similarity: float, *, block: int = BLOCK) -> DataFrame:
@@ -409,7 +409,7 @@ def candidates(postings: DataFrame, similarity: float, *, block: int = BLOCK) ->
             yield from made(*(c for c in held[3:]))
 
     grouped = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
-    return grouped.select("s", F.col("i").cast("long"), F.col("j").cast("long"), "node", "n", F.col("pos").cast("long"), "root").mapInArrow(run, "a long, b long").distinct()
+    return grouped.select("s", F.col("i").cast("long"), F.col("j").cast("long"), "node", "n", F.col("pos").cast("long"), "root").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, pairs: DataFrame, keys: DataFrame, similarity: float, *, id_column: str, text_column: str, shingle: int) -> DataFrame:
@@ -434,7 +434,7 @@ def similar(docs: DataFrame, pairs: DataFrame, keys: DataFrame, similarity: floa
     wanted = stored(wanted, "wanted", like=docs)
     docs = docs.select(id_column, text_column)
     texts = docs.join(wanted, docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_h"))).select("node", docs[text_column])
-    sets = stored(texts.mapInArrow(run, "node long, set array<long>"), "shingles", like=docs).dropDuplicates(["node"])
+    sets = stored(texts.mapInArrow(tidy(run), "node long, set array<long>"), "shingles", like=docs).dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("q")), "b")
     met = F.size(F.array_intersect("p", "q"))
     return both.filter(met >= similarity * (F.size("p") + F.size("q") - met) - 1e-9).select("a", "b")

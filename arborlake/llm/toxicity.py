@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from arborlake.llm import labelled
+from arborlake.llm.shared import tidy
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 12_000
@@ -239,4 +240,4 @@ def reject(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, label:
             score = model.predict([t or "" for t in batch.column(batch.schema.get_field_index(text_column)).to_pylist()])
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

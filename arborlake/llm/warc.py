@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import importable, joined, new_path, stored, tasks_for
+from arborlake.llm.shared import importable, joined, new_path, stored, tasks_for, tidy
 
 #: The field names that versions 1 and 2 define.
 FIELDS = {
@@ -92,7 +92,7 @@ def write_arc(pages: DataFrame, path: str, *, uri: str, html: str, version: str)
             yield _binary(bytes(held.pop(v)))
 
     rows = pages.select(F.col(uri).alias("u"), F.col(html).alias("h"), F.col(version).alias("v"))
-    _written(rows.coalesce(tasks_for(pages, 32)).mapInArrow(run, "value binary"), path)
+    _written(rows.coalesce(tasks_for(pages, 32)).mapInArrow(tidy(run), "value binary"), path)
 
 
 def _opened(content: bytes):
@@ -159,7 +159,7 @@ def arc_keys(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], _NAMES)
 
-    return _files(spark, path).mapInArrow(run, _KEYS)
+    return _files(spark, path).mapInArrow(tidy(run), _KEYS)
 
 
 def _identifier(uri: str, date: str, digest: str, file: str, place: int) -> str:
@@ -227,7 +227,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least: int =
 
     files = _files(spark, arc_path)
     both = files.join(revisits(spark, arc_path, least=least, rank=rank), "file", "left").select("file", "content", "list")
-    _written(both.coalesce(tasks_for(files, 32)).mapInArrow(run, "value binary"), warc_path)
+    _written(both.coalesce(tasks_for(files, 32)).mapInArrow(tidy(run), "value binary"), warc_path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -276,7 +276,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "payload_bytes" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "record_id string, type string, target_uri string, date string, payload_bytes long, payload_digest string, refers_to_uri string")
+    return files.mapInArrow(tidy(run), "record_id string, type string, target_uri string, date string, payload_bytes long, payload_digest string, refers_to_uri string")
 
 
 def pages_through_archives(pages: DataFrame, least: int = 1000, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
