@@ -4,9 +4,10 @@ A block starts from an empty model. Its ids lie in ``lanes`` of equal length, on
 all lanes share one model, which learns from a whole step (one id of each lane) at a time; so every
 operation is one numpy call over all lanes, and the decoder repeats exactly what the encoder did.
 
-The model mixes three predictions of the next id: one id by the last two ids (order 2), one by the last
-id (order 1), and adaptive counts (order 0). How much each weighs is learned, in 256 classes of the two
-predictions' confidence. One interval of the coder holds the mixed probability of an id.
+The model makes three predictions of the next id: one id by the last two ids (order 2), one by the last
+id (order 1), and adaptive counts (order 0). The coder's range is shared out among them, by shares that are learned in 256
+classes of the two predictions' confidence; an id takes its interval in the part of the highest order that
+predicts it. So shares are mixed by context, but an id's interval is not the sum of its probabilities of all orders.
 """
 
 from __future__ import annotations

@@ -32,6 +32,8 @@ BITS = 64
 BLOCK = 2048
 #: Common shingles that are told apart, at most.
 COMMON = 200_000
+#: First shingles of a node's prefix by which the first pass links neighbours; the second pass takes all.
+FIRST = 6
 #: Bits of the sketch of a shingle set.
 SKETCH = 1024
 #: Seconds that a probe row and a compared pair take, in proportion.
@@ -444,7 +446,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str =
     """(id, h, root) for each row of docs, h its text's hash: texts of one root are linked by pairs of the similarity.
 
     Pairs are found by prefix filtering and verified on whole shingle sets; none is lost. The first pass links
-    neighbours, which joins most of a large group by few pairs; the second takes all pairs left between groups.
+    neighbours by the FIRST shingles, so a large group is mostly joined by a few pairs a node; the second takes all
+    pairs left between groups. Null and empty texts have no shingles and are one group; repeated rows stay, in one group.
     """
     importable(docs.sparkSession)
     columns = {"id_column": id_column, "text_column": text_column, "shingle": shingle}
@@ -452,7 +455,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str =
     one = rows.groupBy("node").agg(F.min(F.struct(F.col(id_column).isNull().alias("z"), id_column, "h", "n", "sketch")).alias("r"))
     keys = stored(one.select("node", f"r.{id_column}", "r.h", "r.n", "r.sketch"), "nodes", like=docs)
     postings = stored(shared(rows.select("node", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))), "postings", like=docs)
-    near = connected(similar(docs, neighbours(postings, similarity), keys, similarity, **columns), like=docs)
+    near = connected(similar(docs, neighbours(postings.filter(F.col("pos") < FIRST), similarity), keys, similarity, **columns), like=docs)
     marked = postings.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = similar(docs, candidates(marked, similarity, block=block), keys, similarity, **columns)
     rooted = near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
