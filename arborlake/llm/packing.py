@@ -137,7 +137,7 @@ def pack_documents(
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for part in pieces(texts, 4_000_000):
+            for part in pieces(texts, 1_000_000):
                 ids, lengths = encode(texts[part])
                 till = np.cumsum(lengths)
                 for key, n, e in zip(keys[part], lengths, till, strict=True):

@@ -281,7 +281,7 @@ def common_shingles(docs: DataFrame, text_column: str, shingle: int) -> tuple[np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for part in pieces([t or "" for t in texts], 4_000_000):
+            for part in pieces([t or "" for t in texts], 1_000_000):
                 found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts[part]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["s"])
 
@@ -310,7 +310,7 @@ def prefixes(docs: DataFrame, similarity: float, *, id_column: str, text_column:
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             at = 0
-            for part in pieces(texts, 4_000_000):
+            for part in pieces(texts, 1_000_000):
                 node, size, sketch, first = [], [], [], []
                 for t in texts[part]:
                     found = np.unique(shingle_hashes(t, shingle)).view(np.int64)
@@ -423,7 +423,7 @@ def similar(docs: DataFrame, pairs: DataFrame, keys: DataFrame, similarity: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
-            for part in pieces(texts, 4_000_000):
+            for part in pieces(texts, 1_000_000):
                 found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts[part]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), _lists(found)], ["node", "set"])
                 at += len(found)

@@ -78,7 +78,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_column: str =
 
         for batch in batches:
             some, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for cut in pieces(texts, 4_000_000):
+            for cut in pieces(texts, 1_000_000):
                 ids, lengths = encode(texts[cut])
                 for key, n, e in zip(some[cut], lengths, np.cumsum(lengths), strict=True):
                     if held and held + n + 1 > BLOCK:
