@@ -92,6 +92,13 @@ def joined(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
     return left.join(hot.drop("n"), key).unionByName(rest)
 
 
+def give_back() -> None:
+    """Gives free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow; at a task's end the worker, which waits for other tasks, gives its free memory back."""
 
@@ -99,9 +106,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return task
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from arborlake.llm import labelled
-from arborlake.llm.shared import tidy
+from arborlake.llm.shared import give_back, tidy
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 12_000
@@ -217,7 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int
     rows = labelled.sample(docs, labels, label, folds=FOLDS, held_out=HELD_OUT, bound=bound, **columns)
     table = labelled.gathered(rows, lambda texts: _examples(texts, groups), {"found": "array<int>", "added": "array<int>", "lacked": "array<int>", "swap": "boolean"})
     found, added, lacked = (table[c].combine_chunks() if table.num_rows else _lists([]) for c in ("found", "added", "lacked"))
-    return Model(penalty).fit(found, added, lacked, table["label"].to_numpy().astype(np.float32), table["swap"].to_numpy().astype(bool))
+    model = Model(penalty).fit(found, added, lacked, table["label"].to_numpy().astype(np.float32), table["swap"].to_numpy().astype(bool))
+    del table, found, added, lacked
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = SAMPLE, penalty: float = 10.0, groups: Groups = IDENTITY, **columns) -> DataFrame:
