@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arborlake.llm.shared import importable, joined, pieces, stored, tidy
 
@@ -32,8 +33,8 @@ BITS = 64
 BLOCK = 2048
 #: Common shingles that are told apart, at most.
 COMMON = 200_000
-#: First shingles of a node's prefix by which the first pass links neighbours; the second pass takes all.
-FIRST = 6
+#: Shared shingles of a node's prefix by which the first pass links neighbours; the second pass takes all.
+SPREAD = 12
 #: Bits of the sketch of a shingle set.
 SKETCH = 1024
 #: Seconds that a probe row and a compared pair take, in proportion.
@@ -353,18 +354,31 @@ def shared(postings: DataFrame) -> DataFrame:
     return postings.select(*names).repartition("s").sortWithinPartitions("s", "node").mapInArrow(tidy(run), "s long, node long, n long, pos long")
 
 
-def neighbours(postings: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): nodes that follow each other, by size, among those with a shingle s of their prefixes in common."""
+def spread(postings: DataFrame, most: int = SPREAD) -> DataFrame:
+    """The postings of ``most`` shingles of each node at even steps from the rarest to the most common one; all if there are fewer."""
+    own = Window.partitionBy("node")  # one text's prefix
+    ranked = postings.withColumn("rank", F.row_number().over(own.orderBy("pos"))).withColumn("of", F.count("*").over(own))
+    return ranked.filter(F.expr(f"of <= {most} OR rank * {most} div of > (rank - 1) * {most} div of")).drop("rank", "of")
+
+
+def neighbours(postings: DataFrame, similarity: float, *, mixed: bool = False) -> DataFrame:
+    """(a, b): nodes that follow each other among those with a shingle s in common and whose sizes allow the similarity.
+
+    They are in order of size, or, if ``mixed``, in another order for each shingle, so shingles that a whole group
+    holds give different pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             s, n, node = last = [np.concatenate((k, c.to_numpy(zero_copy_only=False))) for k, c in zip(last, batch.columns, strict=True)]
-            met = (s[1:] == s[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(node[:-1][met]), pa.array(node[1:][met])], ["a", "b"])
+            met = (s[1:] == s[:-1]) & (np.minimum(n[:-1], n[1:]) >= similarity * np.maximum(n[:-1], n[1:]) - 1e-9)
+            a, b = node[:-1][met], node[1:][met]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
             last = [c[-1:] for c in last]
 
-    return postings.repartition("s").sortWithinPartitions("s", "n", "node").select("s", "n", "node").mapInArrow(tidy(run), "a long, b long").distinct()
+    order = [F.xxhash64("s", "node")] if mixed else ["n", "node"]
+    return postings.repartition("s").sortWithinPartitions("s", *order).select("s", "n", "node").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def candidates(postings: DataFrame, similarity: float, *, block: int = BLOCK) -> DataFrame:
@@ -446,7 +460,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str =
     """(id, h, root) for each row of docs, h its text's hash: texts of one root are linked by pairs of the similarity.
 
     Pairs are found by prefix filtering and verified on whole shingle sets; none is lost. The first pass links
-    neighbours by the FIRST shingles, so a large group is mostly joined by a few pairs a node; the second takes all
+    neighbours by SPREAD shingles a node, so a large group is mostly joined by a few pairs a node; the second takes all
     pairs left between groups. Null and empty texts have no shingles and are one group; repeated rows stay, in one group.
     """
     importable(docs.sparkSession)
@@ -455,7 +469,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str =
     one = rows.groupBy("node").agg(F.min(F.struct(F.col(id_column).isNull().alias("z"), id_column, "h", "n", "sketch")).alias("r"))
     keys = stored(one.select("node", f"r.{id_column}", "r.h", "r.n", "r.sketch"), "nodes", like=docs)
     postings = stored(shared(rows.select("node", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))), "postings", like=docs)
-    near = connected(similar(docs, neighbours(postings.filter(F.col("pos") < FIRST), similarity), keys, similarity, **columns), like=docs)
+    near = connected(similar(docs, neighbours(spread(postings), similarity, mixed=True), keys, similarity, **columns), like=docs)
     marked = postings.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = similar(docs, candidates(marked, similarity, block=block), keys, similarity, **columns)
     rooted = near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
