@@ -9,9 +9,10 @@ Equal fingerprints are one node from the start. Nodes that share a probe are com
 size: a crowded probe is split and each pair of its blocks is a group of its own. A group gives a spanning
 forest of its links, not all pairs; the components are those of all links.
 
-``keep_one``, the pipeline's stage, asks for a Jaccard similarity of shingle sets instead. Fingerprints do not
-give that: at 0.8 they differ in 9 of 64 bits in the middle and in many more at the tail, and a distance that
-wide has no selective probes. It joins the sets themselves by prefix filtering, which loses no pair.
+``keep_one``, the pipeline's stage, asks for a Jaccard similarity of shingle sets. It links fingerprints in the
+same way, within a wider distance, and verifies the links on whole sets. Fingerprints alone do not give all
+pairs: at 0.8 they differ in 9 of 64 bits in the middle and in many more at the tail. So an exact check follows
+for what is left: the sets themselves are joined by prefix filtering, which loses no pair.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BITS = 64
 BLOCK = 2048
 #: Common shingles that are told apart, at most.
 COMMON = 200_000
+#: Bits in which the fingerprints of the first pass's links differ at most, where a similarity is asked for.
+DISTANCE = 6
 #: Shared shingles of a node's prefix by which the first pass links neighbours; the second pass takes all.
 SPREAD = 12
 #: Bits of the sketch of a shingle set.
@@ -60,7 +63,10 @@ def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.nda
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     """The 64-bit fingerprint: a bit is 1 if it is set in over half the shingles' hashes; no words: 0."""
-    hashes = shingle_hashes(text, shingle, seed)
+    return fingerprint_of(shingle_hashes(text, shingle, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -172,6 +178,12 @@ def masks(partitions: list[tuple[list[int], int]]) -> list[int]:
     return out
 
 
+def allowed(n: np.ndarray, sketch: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the sets ``others`` may be similar to set i by their sizes and sketches; one that is similar always may."""
+    differ = np.maximum(np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64), np.abs(n[others] - n[i]))
+    return differ <= (1 - similarity) / (1 + similarity) * (n[others] + n[i]) + 1e-6
+
+
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that connect what all links within the distance connect: at most one less than fps."""
     rest, links = np.unique(fps).view(np.uint64), []
@@ -188,19 +200,43 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(nodes: DataFrame, distance: int = 4, *, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between distinct fingerprints fp that join what all links within the distance join."""
+def set_forest(fps: np.ndarray, n: np.ndarray, sketch: np.ndarray, distance: int, similarity: float) -> list[tuple[int, int]]:
+    """Like forest(), of places, for sets: a link also needs sizes and sketches that allow the similarity."""
+    rest, links = np.arange(len(fps)), []
+    while len(rest) > 1:
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            here = todo.pop()
+            near = np.bitwise_count((fps[rest] ^ fps[here]).view(np.uint64)) <= distance
+            near[near] = allowed(n, sketch, here, rest[near], similarity)
+            if near.any():
+                links += [(here, x) for x in rest[near]]
+                todo.extend(rest[near])
+                rest = rest[~near]
+    return links
+
+
+def dealt(nodes: DataFrame, distance: int, block: int) -> DataFrame:
+    """(slot, v, i, j) and the columns of nodes, in that order: rows of a group lie together, and fps within the distance share one.
+
+    The first column of nodes tells them apart; by it the nodes of a crowded probe are dealt to blocks.
+    """
     n = nodes.count()
     partitions = plan(bit_counts(nodes), n, distance)
     probe = F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks(partitions)))).alias("slot", "mask")
-    probes = nodes.select("fp", probe).select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("v"))
-    crowded = probes.groupBy("slot", "v").count().filter(F.col("count") > block).select("slot", "v", F.ceil(F.col("count") / block).cast("int").alias("n"))
-    dealt = (
+    probes = nodes.select("*", probe).select(*nodes.columns, "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("v"))
+    crowded = probes.groupBy("slot", "v").count().filter(F.col("count") > block).select("slot", "v", F.ceil(F.col("count") / block).cast("int").alias("m"))
+    groups = (
         probes.join(crowded, ["slot", "v"], "left")
-        .withColumn("own", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("n"))).cast("int"))
-        .withColumn("other", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))))
-        .select("slot", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        .withColumn("own", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64(nodes.columns[0]), F.col("m"))).cast("int"))
+        .withColumn("other", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("m") - 1))))
+        .select("slot", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *nodes.columns)
     )
+    return groups.repartition("slot", "v", "i", "j").sortWithinPartitions("slot", "v", "i", "j")
+
+
+def links(nodes: DataFrame, distance: int = 4, *, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between distinct fingerprints fp that join what all links within the distance join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -221,8 +257,32 @@ def links(nodes: DataFrame, distance: int = 4, *, block: int = BLOCK) -> DataFra
         if out := made():
             yield out
 
-    grouped = dealt.repartition("slot", "v", "i", "j").sortWithinPartitions("slot", "v", "i", "j")
-    return grouped.select("slot", "v", "i", "j", "fp").mapInArrow(tidy(run), "a long, b long").distinct()
+    return dealt(nodes.select("fp"), distance, block).mapInArrow(tidy(run), "a long, b long").distinct()
+
+
+def set_links(nodes: DataFrame, similarity: float, distance: int = DISTANCE, *, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between nodes (node, fp, n, sketch) that join what all fingerprints within the distance join, if the sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(node: np.ndarray, *of: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(node) > 1 and (found := set_forest(*of, distance, similarity)):
+                a, b = (node[list(c)] for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [_table(batch.columns[-1])]
+            held = [np.concatenate(c) for c in zip(held, rows, strict=True)] if held else rows
+            starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:4]], axis=0)) + 1
+            for x, y in zip([0, *starts.tolist()], starts.tolist(), strict=False):
+                yield from made(*(c[x:y] for c in held[4:]))
+            held = [c[starts[-1] if len(starts) else 0 :] for c in held]
+        if held:
+            yield from made(*held[4:])
+
+    blocks = [F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("i", "j")]  # nodes of an uncrowded probe have none
+    grouped = dealt(nodes.select("node", "fp", "n", "sketch"), distance, block)
+    return grouped.select(F.col("slot").cast("long"), "v", *blocks, "node", "fp", "n", "sketch").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def connected(edges: DataFrame, *, most: int = 60, like: DataFrame | None = None) -> DataFrame:
@@ -271,6 +331,12 @@ def near_duplicates(docs: DataFrame, distance: int = 4, *, id_column: str = "doc
     return joined(docs, component, "fp", docs.count()).select(id_column, "fp", "component_id")
 
 
+def _table(lists: pa.Array) -> np.ndarray:
+    """Lists of equal length as the rows of a table."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), len(flat) // max(1, len(lists)))
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays], dtype=np.int64))).astype(np.int32)
     return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *arrays]))
@@ -294,7 +360,7 @@ def common_shingles(docs: DataFrame, text_column: str, shingle: int) -> tuple[np
 
 
 def prefixes(docs: DataFrame, similarity: float, *, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """(id, h, node, n, sketch, prefix) for each row: its words' hash, and of its shingles how many, a sketch and the first.
+    """(id, h, node, fp, n, sketch, prefix) for each row: its words' hash, and of its shingles the fingerprint, how many, a sketch and the first.
 
     A bit of the sketch is the parity of how many shingles fall on it, so two sets differ in as many shingles
     at least as their sketches do in bits.
@@ -312,9 +378,11 @@ def prefixes(docs: DataFrame, similarity: float, *, id_column: str, text_column:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             at = 0
             for part in pieces(texts, 1_000_000):
-                node, size, sketch, first = [], [], [], []
+                node, fp, size, sketch, first = [], [], [], [], []
                 for t in texts[part]:
-                    found = np.unique(shingle_hashes(t, shingle)).view(np.int64)
+                    hashes = shingle_hashes(t, shingle)
+                    fp.append(fingerprint_of(hashes))
+                    found = np.unique(hashes).view(np.int64)
                     n = len(found)
                     sketch.append(np.packbits(np.bincount(found & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64))
                     if len(common) and n:
@@ -324,12 +392,12 @@ def prefixes(docs: DataFrame, similarity: float, *, id_column: str, text_column:
                     size.append(n)
                     first.append(found[: n - math.ceil(similarity * n - 1e-9) + 1])
                 many = len(node)
-                columns = [batch.column(0).slice(at, many), batch.column(1).slice(at, many), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), _lists(sketch), _lists(first)]
-                yield pa.RecordBatch.from_arrays(columns, [id_column, "h", "node", "n", "sketch", "prefix"])
+                columns = [batch.column(0).slice(at, many), batch.column(1).slice(at, many), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (node, fp)), pa.array(size, pa.int64()), _lists(sketch), _lists(first)]
+                yield pa.RecordBatch.from_arrays(columns, [id_column, "h", "node", "fp", "n", "sketch", "prefix"])
                 at += many
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, F.xxhash64(text_column).alias("h"), text_column).mapInArrow(tidy(run), f"`{id_column}` {kind}, h long, node long, n long, sketch array<long>, prefix array<long>")
+    return docs.select(id_column, F.xxhash64(text_column).alias("h"), text_column).mapInArrow(tidy(run), f"`{id_column}` {kind}, h long, node long, fp long, n long, sketch array<long>, prefix array<long>")
 
 
 def shared(postings: DataFrame) -> DataFrame:
@@ -459,17 +527,18 @@ def similar(docs: DataFrame, pairs: DataFrame, keys: DataFrame, similarity: floa
 def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, block: int = BLOCK) -> DataFrame:
     """(id, h, root) for each row of docs, h its text's hash: texts of one root are linked by pairs of the similarity.
 
-    Pairs are found by prefix filtering and verified on whole shingle sets; none is lost. The first pass links
-    neighbours by SPREAD shingles a node, so a large group is mostly joined by a few pairs a node; the second takes all
-    pairs left between groups. Null and empty texts have no shingles and are one group; repeated rows stay, in one group.
+    The first pass links fingerprints within DISTANCE bits, and neighbours by SPREAD shingles a node, so a large group
+    is mostly joined by a few pairs a node; the second takes all pairs left between groups, by prefix filtering. Both
+    are verified on whole shingle sets; no pair is lost. Null and empty texts have no shingles and are one group; repeated rows stay, in one group.
     """
     importable(docs.sparkSession)
     columns = {"id_column": id_column, "text_column": text_column, "shingle": shingle}
     rows = stored(prefixes(docs, similarity, **columns), "prefixes", like=docs)
-    one = rows.groupBy("node").agg(F.min(F.struct(F.col(id_column).isNull().alias("z"), id_column, "h", "n", "sketch")).alias("r"))
-    keys = stored(one.select("node", f"r.{id_column}", "r.h", "r.n", "r.sketch"), "nodes", like=docs)
+    one = rows.groupBy("node").agg(F.min(F.struct(F.col(id_column).isNull().alias("z"), id_column, "h", "fp", "n", "sketch")).alias("r"))
+    keys = stored(one.select("node", f"r.{id_column}", "r.h", "r.fp", "r.n", "r.sketch"), "nodes", like=docs)
     postings = stored(shared(rows.select("node", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))), "postings", like=docs)
-    near = connected(similar(docs, neighbours(spread(postings), similarity, mixed=True), keys, similarity, **columns), like=docs)
+    first = set_links(keys, similarity, block=block).union(neighbours(spread(postings), similarity, mixed=True)).distinct()
+    near = connected(similar(docs, first, keys, similarity, **columns), like=docs)
     marked = postings.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = similar(docs, candidates(marked, similarity, block=block), keys, similarity, **columns)
     rooted = near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)

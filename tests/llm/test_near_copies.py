@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from arborlake.llm import decontaminate, simhash
@@ -106,3 +107,27 @@ def test_decontamination_takes_only_rows_that_hold_a_window(spark):
     kept = decontaminate.clean(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[7]], key=str)
+
+
+def test_stage_links_fingerprints_by_the_pigeonhole_principle(spark, monkeypatch):
+    rng = random.Random(15)
+    texts = []
+    for _ in range(6):
+        base = words_of(rng, 200)
+        texts += [" ".join(base), " ".join([*base[:199], "other"]), " ".join([*base[:198], "new", "end"])]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)).view(np.int64) for t in texts]
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    assert all((fps[i] ^ fps[j]).bit_count() <= simhash.DISTANCE for i in range(18) for j in range(i) if i // 3 == j // 3)
+    sketches = [np.packbits(np.bincount(s & (simhash.SKETCH - 1), minlength=simhash.SKETCH) & 1).view(np.int64).tolist() for s in sets]
+    rows = [(i, int(np.uint64(fp).view(np.int64)), len(s), k) for i, (fp, s, k) in enumerate(zip(fps, sets, sketches, strict=True))]
+    for block in (2048, 2):
+        links = simhash.set_links(spark.createDataFrame(rows, "node long, fp long, n long, sketch array<long>"), 0.8, block=block)
+        assert {(r.node, r.root) for r in simhash.connected(links).collect()} == {(i, i // 3 * 3) for i in range(18) if i % 3}
+
+    def none(postings, *of, **options):
+        return spark.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(simhash, "neighbours", none)
+    monkeypatch.setattr(simhash, "candidates", none)
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 6, 9, 12, 15]
