@@ -180,7 +180,7 @@ def masks(partitions: list[tuple[list[int], int]]) -> list[int]:
 
 def allowed(n: np.ndarray, sketch: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
     """Which of the sets ``others`` may be similar to set i by their sizes and sketches; one that is similar always may."""
-    differ = np.maximum(np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64), np.abs(n[others] - n[i]))
+    differ = np.maximum(np.bitwise_count((sketch[others] ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64), np.abs(n[others] - n[i]))
     return differ <= (1 - similarity) / (1 + similarity) * (n[others] + n[i]) + 1e-6
 
 
@@ -449,18 +449,22 @@ def neighbours(postings: DataFrame, similarity: float, *, mixed: bool = False) -
     return postings.repartition("s").sortWithinPartitions("s", *order).select("s", "n", "node").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def candidates(postings: DataFrame, similarity: float, *, block: int = BLOCK) -> DataFrame:
+def candidates(postings: DataFrame, similarity: float, *, block: int = BLOCK, sketches: DataFrame | None = None) -> DataFrame:
     """(a, b): all pairs of nodes with a shingle s in common that may be similar and whose roots differ.
 
     A pair passes if its sizes allow the similarity and if, were s their first common shingle, the rest of
-    both sets would be long enough; at the first common one it is.
+    both sets would be long enough; at the first common one it is. With ``sketches`` (node, sketch) these have to
+    allow it too, and the many pairs that they rule out never leave the task that compares them.
     """
+    sketch = "sketch" if sketches is not None else F.array().cast("array<long>").alias("sketch")
     crowded = postings.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s", F.ceil(F.col("m") / block).cast("int").alias("m"))
-    dealt = (
-        postings.join(crowded, "s")
+    met = postings.join(crowded, "s")
+    met = met.join(sketches.select("node", "sketch"), "node") if sketches is not None else met
+    groups = (
+        met
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "pos", "root")
+        .select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "pos", "root", sketch)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,12 +472,13 @@ def candidates(postings: DataFrame, similarity: float, *, block: int = BLOCK) ->
             a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        def made(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def made(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
             a, b, held = [], [], 0
             for i in range(len(node) - 1):
                 least = similarity / (1 + similarity) * (n[i] + n[i + 1 :]) - 1e-6
                 ok = (root[i + 1 :] != root[i]) & (np.minimum(n[i], n[i + 1 :]) >= least) & (np.minimum(n[i] - pos[i], n[i + 1 :] - pos[i + 1 :]) >= least)
-                b.append(node[i + 1 :][ok])
+                others = i + 1 + np.flatnonzero(ok)
+                b.append(node[others[allowed(n, sketch, i, others, similarity)]])
                 a.append(np.full(len(b[-1]), node[i]))
                 held += len(b[-1])
                 if held > 200_000:
@@ -482,18 +487,19 @@ def candidates(postings: DataFrame, similarity: float, *, block: int = BLOCK) ->
             if held:
                 yield batch_of(a, b)
 
-        held = [np.zeros(0, np.int64)] * 7
+        held = None
         for batch in batches:
-            held = [np.concatenate((k, c.to_numpy(zero_copy_only=False))) for k, c in zip(held, batch.columns, strict=True)]
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [_table(batch.columns[-1])]
+            held = [np.concatenate(c) for c in zip(held, rows, strict=True)] if held else rows
             starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:3]], axis=0)) + 1
             for x, y in zip([0, *starts.tolist()], starts.tolist(), strict=False):
                 yield from made(*(c[x:y] for c in held[3:]))
             held = [c[starts[-1] if len(starts) else 0 :] for c in held]
-        if len(held[0]) > 1:
-            yield from made(*(c for c in held[3:]))
+        if held:
+            yield from made(*held[3:])
 
-    grouped = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
-    return grouped.select("s", F.col("i").cast("long"), F.col("j").cast("long"), "node", "n", F.col("pos").cast("long"), "root").mapInArrow(tidy(run), "a long, b long").distinct()
+    grouped = groups.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    return grouped.select("s", F.col("i").cast("long"), F.col("j").cast("long"), "node", "n", F.col("pos").cast("long"), "root", "sketch").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, pairs: DataFrame, keys: DataFrame, similarity: float, *, id_column: str, text_column: str, shingle: int) -> DataFrame:
@@ -540,7 +546,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str =
     first = set_links(keys, similarity, block=block).union(neighbours(spread(postings), similarity, mixed=True)).distinct()
     near = connected(similar(docs, first, keys, similarity, **columns), like=docs)
     marked = postings.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = similar(docs, candidates(marked, similarity, block=block), keys, similarity, **columns)
+    more = similar(docs, candidates(marked, similarity, block=block, sketches=keys), keys, similarity, **columns)
     rooted = near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
     final = connected(rooted, like=docs)
     return rows.select(id_column, "h", "node").join(final, "node", "left").select(id_column, "h", F.coalesce("root", "node").alias("root"))

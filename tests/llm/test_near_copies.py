@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arborlake.llm import decontaminate, simhash
 
@@ -131,3 +132,33 @@ def test_stage_links_fingerprints_by_the_pigeonhole_principle(spark, monkeypatch
     monkeypatch.setattr(simhash, "candidates", none)
     kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 6, 9, 12, 15]
+
+
+def test_pairs_that_only_share_a_passage_do_not_leave_the_second_pass(spark):
+    rng = random.Random(16)
+    passage = words_of(rng, 100)
+    texts = [" ".join([*passage, *words_of(rng, 40)]) for _ in range(60)]
+    texts += [" ".join([*t.split()[:139], "other"]) for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = simhash.prefixes(docs, 0.8, id_column="doc_id", text_column="text", shingle=5).persist()
+    postings = rows.select("node", "n", F.posexplode("prefix").alias("pos", "s"), F.col("node").alias("root"))
+    node = {r.doc_id: r.node for r in rows.collect()}
+    similar = {tuple(sorted((node[i], node[60 + i]))) for i in range(5)}
+    for block in (2048, 8):
+        found = {tuple(r) for r in simhash.candidates(postings, 0.8, block=block, sketches=rows).collect()}
+        assert similar <= found and len(found) < 50
+        assert len(set(simhash.candidates(postings, 0.8, block=block).collect())) > 1000
+
+
+def test_sketches_allow_every_similar_pair():
+    rng = np.random.default_rng(17)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(-(2**63), 2**63 - 1, 200)
+        sets += [base, np.append(base[22:], rng.integers(-(2**63), 2**63 - 1, 22))]
+    sketch = np.array([np.packbits(np.bincount(s & (simhash.SKETCH - 1), minlength=simhash.SKETCH) & 1).view(np.int64) for s in sets])
+    n = np.array([len(s) for s in sets])
+    for i in range(0, 80, 2):
+        assert len(np.intersect1d(sets[i], sets[i + 1])) / len(np.union1d(sets[i], sets[i + 1])) > 0.8
+        assert simhash.allowed(n, sketch, i, np.array([i + 1]), 0.8).all()
+        assert not simhash.allowed(n, sketch, i, np.array([(i + 2) % 80]), 0.8).any()
