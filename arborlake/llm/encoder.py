@@ -34,17 +34,29 @@ def tokenizer(path: str):
     return t
 
 
+class _Index(dict):
+    """The row of each stretch; one that is looked up and not there gets the next row and is noted as fresh."""
+
+    def __init__(self) -> None:
+        self.fresh: list = []
+
+    def __missing__(self, stretch: str) -> int:
+        self.fresh.append(stretch)
+        row = self[stretch] = len(self)
+        return row
+
+
 class Encoder:
     def __init__(self, path: str, offsets: bool = False, kept: int = KEPT) -> None:
         self.tokenizer, self.offsets, self.kept = tokenizer(path), offsets, kept
         self.spaced = self.tokenizer.normalizer is None  # the byte vocabulary keeps white space
-        self.index: dict = {}
+        self.index = _Index()
         self._renew()
 
     def _renew(self) -> None:
         """Makes the table the older one; what is met again moves to the new one without the library."""
         self.older = (self.index, self.pool, self.spans, self.first, self.count) if self.index else ({}, *[None] * 4)
-        self.index = {}
+        self.index = _Index()
         self.used = 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.spans = np.zeros((1 << 16, 2), np.int32) if self.offsets else None
@@ -84,29 +96,28 @@ class Encoder:
         return pool[at], size, spans[at] if self.offsets else None
 
     def _learn(self, fresh: list) -> None:
-        older = self.older[0]
-        known = [w for w in fresh if w in older] if older else []
-        unknown = [w for w in fresh if w not in older] if known else fresh
-        for table, source in ((known, self._moved), (unknown, self._encoded)):
-            for at in range(0, len(table), 20_000):
-                some = table[at : at + 20_000]
-                self._keep(some, *source(some))
-
-    def _keep(self, some: list, flat: np.ndarray, count: np.ndarray, spans) -> None:
-        rows = len(self.index)
+        """Fills the last rows of the table, those of fresh."""
+        older, at = self.older[0], np.arange(len(self.index) - len(fresh), len(self.index))
+        known = np.fromiter((w in older for w in fresh), bool, len(fresh)) if older else np.zeros(len(fresh), bool)
+        while len(self.index) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        for those, source in ((known, self._moved), (~known, self._encoded)):
+            rows = at[those]
+            table = fresh if len(rows) == len(fresh) else [fresh[i] for i in np.flatnonzero(those).tolist()]
+            for i in range(0, len(rows), 20_000):
+                self._keep(rows[i : i + 20_000], *source(table[i : i + 20_000]))
+
+    def _keep(self, rows: np.ndarray, flat: np.ndarray, count: np.ndarray, spans) -> None:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             if self.offsets:
                 self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
-        while rows + len(some) > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         self.pool[self.used : self.used + len(flat)] = flat
         if self.offsets and len(flat):
             self.spans[self.used : self.used + len(flat)] = spans
-        self.first[rows : rows + len(some)] = self.used + np.cumsum(count) - count
-        self.count[rows : rows + len(some)] = count
+        self.first[rows] = self.used + np.cumsum(count) - count
+        self.count[rows] = count
         self.used += len(flat)
-        self.index.update(zip(some, range(rows, rows + len(some)), strict=True))
 
     def encode(self, texts: list[str]):
         """(ids of all texts in a row, number of ids of each text[, starts, ends in characters of the text])."""
@@ -117,11 +128,15 @@ class Encoder:
         for i, text in enumerate(texts):
             words += self._split(text)
             ends[i + 1] = len(words)
-        row = list(map(self.index.get, words))
-        if None in row:
-            self._learn(list(dict.fromkeys(w for w, r in zip(words, row, strict=True) if r is None)))
-            row = list(map(self.index.__getitem__, words))
-        row = np.array(row, np.int64)
+        row = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.fresh:
+            fresh, self.index.fresh = self.index.fresh, []
+            try:
+                self._learn(fresh)
+            except BaseException:
+                self.index = _Index()  # rows that were not filled are never read
+                self._renew()
+                raise
         count = self.count[row]
         till = np.concatenate([[0], np.cumsum(count)])
         at = np.repeat(self.first[row] - till[:-1], count)

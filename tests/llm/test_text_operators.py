@@ -290,3 +290,28 @@ def test_foreign_columns_do_not_matter(spark):
     df = table(spark).withColumn("ids_crc32", F.lit("x")).withColumn("media", F.lit("y")).withColumn("part", F.lit(1))
     assert packing.pack_documents(df, WORDS).count() >= df.count()
     assert media.store(df).count() == df.count()
+
+
+def test_encoder_looks_each_stretch_up_once_and_survives_a_failed_call(monkeypatch):
+    from arborlake.llm.encoder import Encoder
+    from arborlake.llm.queries import vocabulary
+
+    class Counted(str):
+        calls = 0
+
+        def __hash__(self):
+            Counted.calls += 1
+            return str.__hash__(self)
+
+    words = [f"word{i % 500}" for i in range(1000)]
+    e, plain = Encoder(vocabulary("word_bpe_49k.json")), Encoder(vocabulary("word_bpe_49k.json"))
+    want = plain.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    monkeypatch.setattr(e, "_split", lambda text: [Counted(w) for w in text.split()])
+    assert e.encode([" ".join(words)])[0].tolist() == want and Counted.calls <= 2 * len(words)
+    with monkeypatch.context() as m:
+        m.setattr(plain, "_encoded", lambda fresh: 1 / 0)
+        try:
+            plain.encode([" ".join(words)])
+        except ZeroDivisionError:
+            pass
+    assert plain.encode([" ".join(words)])[0].tolist() == want
