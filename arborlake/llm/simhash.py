@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arborlake.llm.shared import importable, joined, pieces, stored, tidy
+from arborlake.llm.shared import give_back_driver, importable, joined, pieces, stored, tidy
 
 BITS = 64
 #: Fingerprints of a block; two blocks meet in one group at most.
@@ -40,6 +40,8 @@ DISTANCE = 6
 SPREAD = 12
 #: Bits of the sketch of a shingle set.
 SKETCH = 1024
+#: Links whose components the pipeline's stage finds in one task, at most; more of them take rounds.
+FEW = 100_000
 #: Seconds that a probe row and a compared pair take, in proportion.
 PROBE, PAIR = 2e-6, 5e-9
 
@@ -285,14 +287,42 @@ def set_links(nodes: DataFrame, similarity: float, distance: int = DISTANCE, *,
     return grouped.select(F.col("slot").cast("long"), "v", *blocks, "node", "fp", "n", "sketch").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def connected(edges: DataFrame, *, most: int = 60, like: DataFrame | None = None) -> DataFrame:
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (a, b) that are no roots, and their roots: each component's root is its least node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    above = list(range(len(nodes)))
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        while above[y] != y:
+            above[y] = y = above[above[y]]
+        above[max(x, y)] = min(x, y)
+    for i, x in enumerate(above):  # what is above a node is before it
+        above[i] = above[x]
+    root = np.array(above, np.int64)
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
+
+
+def connected(edges: DataFrame, *, most: int = 60, like: DataFrame | None = None, few: int = 0) -> DataFrame:
     """(node, root) for the nodes of edges (a, b): each component's root is its least node.
 
     Alternates large-star and small-star; each round is written to the shared folder. Its number grows with
     the logarithm of the longest path. RuntimeError beyond ``most`` rounds.
+
+    With ``few`` links at most they are gathered in one task instead, which gives the same rows. A round is half a
+    dozen jobs whatever its size, and each leaves threads, plans and statistics in the driver for a while.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = zip(*([np.zeros(0, np.int64)] * 2, *([c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches)), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in roots_of(np.concatenate(a), np.concatenate(b))], ["node", "root"])
+
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links", like=like)
 
+    if few and now.count() <= few:
+        return stored(now.repartition(1).mapInArrow(tidy(run), "node long, root long"), "roots")
+
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -530,7 +560,7 @@ def similar(docs: DataFrame, pairs: DataFrame, keys: DataFrame, similarity: floa
     return both.filter(met >= similarity * (F.size("p") + F.size("q") - met) - 1e-9).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, block: int = BLOCK) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(id, h, root) for each row of docs, h its text's hash: texts of one root are linked by pairs of the similarity.
 
     The first pass links fingerprints within DISTANCE bits, and neighbours by SPREAD shingles a node, so a large group
@@ -538,17 +568,21 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, *, id_column: str =
     are verified on whole shingle sets; no pair is lost. Null and empty texts have no shingles and are one group; repeated rows stay, in one group.
     """
     importable(docs.sparkSession)
+    give_back_driver(docs.sparkSession)
     columns = {"id_column": id_column, "text_column": text_column, "shingle": shingle}
     rows = stored(prefixes(docs, similarity, **columns), "prefixes", like=docs)
     one = rows.groupBy("node").agg(F.min(F.struct(F.col(id_column).isNull().alias("z"), id_column, "h", "fp", "n", "sketch")).alias("r"))
     keys = stored(one.select("node", f"r.{id_column}", "r.h", "r.fp", "r.n", "r.sketch"), "nodes", like=docs)
     postings = stored(shared(rows.select("node", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))), "postings", like=docs)
+    give_back_driver(docs.sparkSession)
     first = set_links(keys, similarity, block=block).union(neighbours(spread(postings), similarity, mixed=True)).distinct()
-    near = connected(similar(docs, first, keys, similarity, **columns), like=docs)
+    near = connected(similar(docs, first, keys, similarity, **columns), like=docs, few=few)
+    give_back_driver(docs.sparkSession)
     marked = postings.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = similar(docs, candidates(marked, similarity, block=block, sketches=keys), keys, similarity, **columns)
     rooted = near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
-    final = connected(rooted, like=docs)
+    final = connected(rooted, like=docs, few=few)
+    give_back_driver(docs.sparkSession)
     return rows.select(id_column, "h", "node").join(final, "node", "left").select(id_column, "h", F.coalesce("root", "node").alias("root"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.llm import decontaminate, simhash
+from arborlake.llm import decontaminate, shared, simhash
 
 
 def words_of(rng, n):
@@ -162,3 +162,26 @@ def test_sketches_allow_every_similar_pair():
         assert len(np.intersect1d(sets[i], sets[i + 1])) / len(np.union1d(sets[i], sets[i + 1])) > 0.8
         assert simhash.allowed(n, sketch, i, np.array([i + 1]), 0.8).all()
         assert not simhash.allowed(n, sketch, i, np.array([(i + 2) % 80]), 0.8).any()
+
+
+def test_few_links_take_no_rounds_and_give_the_same_roots(spark, monkeypatch):
+    rng = random.Random(18)
+    path = [(i, i + 1) for i in range(-40, 40)] + [(1000, i) for i in range(1001, 1040)] + [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(150)]
+    rng.shuffle(path)
+    edges = spark.createDataFrame([(a, b) if rng.random() < 0.5 else (b, a) for a, b in [*path, *path[:20], (5, 5)]], "a long, b long").repartition(5)
+    by_rounds = sorted(tuple(r) for r in simhash.connected(edges).collect())
+    assert simhash.connected(edges.limit(0), few=10).count() == 0
+    assert sorted(tuple(r) for r in simhash.connected(edges, few=10).collect()) == by_rounds  # too many for one task
+
+    def none(*of, **options):
+        raise AssertionError("a round")
+
+    given = []
+    texts = copies(random.Random(19))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shared.give_back_driver(spark)
+    monkeypatch.setattr(simhash, "give_back_driver", given.append)
+    monkeypatch.setattr(simhash, "joined", none)  # each round joins
+    assert sorted(tuple(r) for r in simhash.connected(edges, few=1000).collect()) == by_rounds
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(brute_groups(texts)))
+    assert len(given) > 3 and set(map(id, given)) == {id(spark)}
