@@ -50,6 +50,10 @@ class Encoder:
     def __init__(self, path: str, offsets: bool = False, kept: int = KEPT) -> None:
         self.tokenizer, self.offsets, self.kept = tokenizer(path), offsets, kept
         self.spaced = self.tokenizer.normalizer is None  # the byte vocabulary keeps white space
+        if self.spaced:  # a token's characters stand for its bytes
+            self.bytes = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.bytes[i] = len(token)
         self.index = _Index()
         self._renew()
 
@@ -87,6 +91,18 @@ class Encoder:
         spans = [s for e in done for s in e.offsets] if self.offsets else None
         return np.concatenate([np.array(e.ids, np.uint32) for e in done]), count, spans
 
+    def _joined(self, fresh: list):
+        """What _encoded() gives, without spans, for stretches of the byte vocabulary that may follow each other in a text."""
+        some = [fresh[i : i + 500] for i in range(0, len(fresh), 500)]
+        done = self.tokenizer.encode_batch_fast(list(map("".join, some)), add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in done])
+        size = np.fromiter((len(w.encode()) for w in fresh), np.int64, len(fresh))
+        after = np.concatenate([[0], np.cumsum(self.bytes[flat])])  # bytes before each token
+        first = np.searchsorted(after, np.cumsum(size) - size)
+        if after[-1] != size.sum() or (after[first] != np.cumsum(size) - size).any():
+            return self._encoded(fresh)  # a vocabulary whose tokens are not their bytes
+        return flat, np.diff(np.append(first, len(flat))), None
+
     def _moved(self, known: list):
         """What _encoded() gives, for stretches of the older table."""
         index, pool, spans, first, count = self.older
@@ -101,7 +117,10 @@ class Encoder:
         known = np.fromiter((w in older for w in fresh), bool, len(fresh)) if older else np.zeros(len(fresh), bool)
         while len(self.index) > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        for those, source in ((known, self._moved), (~known, self._encoded)):
+        plain = np.zeros(len(fresh), bool)
+        if self.spaced and not self.offsets:
+            plain = np.fromiter((w[0] in " \t\n\r" and not w[-1].isspace() for w in fresh), bool, len(fresh)) & ~known
+        for those, source in ((known, self._moved), (plain, self._joined), (~known & ~plain, self._encoded)):
             rows = at[those]
             table = fresh if len(rows) == len(fresh) else [fresh[i] for i in np.flatnonzero(those).tolist()]
             for i in range(0, len(rows), 20_000):

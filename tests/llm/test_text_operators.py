@@ -315,3 +315,21 @@ def test_encoder_looks_each_stretch_up_once_and_survives_a_failed_call(monkeypat
         except ZeroDivisionError:
             pass
     assert plain.encode([" ".join(words)])[0].tolist() == want
+
+
+def test_byte_stretches_are_encoded_in_one_text_as_the_library_does():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    odd = ["", " ", "\n\n a", "it's we'll 'tis", "a  b\t\tc \r\n d ", "x\x1c y\x1f", "nb sp  em　wide", "\u0085 nel", "<s> </s> <|endoftext|> <pad>", "Straße, été. 1,5 a.b ,c", "\U0001f469‍\U0001f4bb 漢字 اب", "é ́ x", "﻿bom a"]
+    texts = [*odd, *(a + b for a in odd for b in odd), " ".join(f"w{i} {i}," for i in range(1500))]
+    whole = tokenizer(path)
+    made = Encoder(path, kept=600)
+    joined, seen = made._joined, []
+    made._joined = lambda fresh: seen.extend(fresh) or joined(fresh)
+    for some in (texts, texts[::-1]):
+        ids, lengths = made.encode(some)
+        want = [whole.encode(t, add_special_tokens=False).ids for t in some]
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(seen) > 1000 and " w7" in seen
+    made.bytes[:] = 1  # a vocabulary whose tokens are not their bytes
+    ids, _ = made.encode([" other words altogether", *odd])
+    assert ids.tolist() == [i for t in [" other words altogether", *odd] for i in whole.encode(t, add_special_tokens=False).ids]
