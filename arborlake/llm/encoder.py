@@ -15,13 +15,18 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 #: Stretches kept by one worker, half of them as an older table; which are kept changes no result.
 KEPT = 500_000
 _SPACED = re.compile(r"\s*+[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\s.,])|\s*+\S++|\s+")
 _WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\s.,])|\S+")
+#: Stretches that begin with white space and do not end with it.
+_PLAIN = re.compile(r"[ \t\n\r](?s:.*)\S\Z")
 #: Python's white space but not the vocabulary's: texts with these are encoded in one stretch.
 _ODD = re.compile("[\x1c-\x1f]")
+#: White space beyond ASCII, as the number that its UTF-8 bytes make.
+_WIDE = np.array([int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))])
 _encoders: dict = {}
 
 
@@ -34,6 +39,32 @@ def tokenizer(path: str):
     return t
 
 
+def stretches(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The stretches of all texts in a row for the byte vocabulary, and how many end by the end of each text.
+
+    Works on the column's UTF-8 bytes, so no Python string is made for a stretch that is there twice. Cuts lie
+    before white space of ASCII that follows other characters, and before a full stop or comma after a letter.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    x = np.frombuffer(data, np.uint8, offsets[-1] - offsets[0], offsets[0]) if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    space, stop, lower = (x == 32) | (x - np.uint8(9) < 5), (x == 44) | (x == 46), x | 32
+    letter = (lower >= 97) & (lower <= 122)
+    cut = np.zeros(len(x), bool)
+    cut[1:] = (space[1:] & ~space[:-1]) | (stop[1:] & letter[:-1])
+    beyond = np.flatnonzero((x[:-1] >= 128) & (space | stop)[1:]) + 1  # valid UTF-8, so two bytes before these are there
+    last = x[beyond - 2].astype(np.int64) << 8 | x[beyond - 1]
+    wide = np.isin(last, _WIDE) | np.isin(x[beyond - 3].astype(np.int64) << 16 | last, _WIDE)
+    latin = (last >= 0xC380) & (last <= 0xC3BF) & (last != 0xC397) & (last != 0xC3B7)
+    cut[beyond] = np.where(space[beyond], ~wide, latin)
+    cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    at = np.append(np.flatnonzero(cut), len(x))
+    found = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(x))
+    return found.dictionary_encode(), np.searchsorted(at, offsets[1:])
+
+
 class _Index(dict):
     """The row of each stretch; one that is looked up and not there gets the next row and is noted as fresh."""
 
@@ -114,12 +145,12 @@ class Encoder:
     def _learn(self, fresh: list) -> None:
         """Fills the last rows of the table, those of fresh."""
         older, at = self.older[0], np.arange(len(self.index) - len(fresh), len(self.index))
-        known = np.fromiter((w in older for w in fresh), bool, len(fresh)) if older else np.zeros(len(fresh), bool)
+        known = np.fromiter(map(older.__contains__, fresh), bool, len(fresh)) if older else np.zeros(len(fresh), bool)
         while len(self.index) > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         plain = np.zeros(len(fresh), bool)
         if self.spaced and not self.offsets:
-            plain = np.fromiter((w[0] in " \t\n\r" and not w[-1].isspace() for w in fresh), bool, len(fresh)) & ~known
+            plain = np.fromiter(map(bool, map(_PLAIN.match, fresh)), bool, len(fresh)) & ~known
         for those, source in ((known, self._moved), (plain, self._joined), (~known & ~plain, self._encoded)):
             rows = at[those]
             table = fresh if len(rows) == len(fresh) else [fresh[i] for i in np.flatnonzero(those).tolist()]
@@ -140,13 +171,32 @@ class Encoder:
 
     def encode(self, texts: list[str]):
         """(ids of all texts in a row, number of ids of each text[, starts, ends in characters of the text])."""
-        if 2 * len(self.index) > self.kept:
-            self._renew()
         words: list = []
         ends = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
             words += self._split(text)
             ends[i + 1] = len(words)
+        at, count, ids, lengths = self._ids(self._rows(words), ends)
+        if not self.offsets:
+            return ids, lengths
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(size) - size
+        begin -= np.repeat(np.concatenate([begin, [size.sum()]])[ends[:-1]], np.diff(ends))
+        moved = np.repeat(begin, count)
+        return ids, lengths, self.spans[at, 0] + moved, self.spans[at, 1] + moved
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What encode() gives for the texts of a column, null as empty; in the byte vocabulary a stretch is looked up once."""
+        if not self.spaced or self.offsets:
+            return self.encode([t or "" for t in texts.to_pylist()])[:2]
+        found, ends = stretches(texts)
+        row = self._rows(found.dictionary.to_numpy(zero_copy_only=False).tolist())[found.indices.to_numpy()]
+        return self._ids(row, np.append(0, ends))[2:]
+
+    def _rows(self, words: list) -> np.ndarray:
+        """The row of each stretch; new ones are learned."""
+        if 2 * len(self.index) > self.kept:
+            self._renew()
         row = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.fresh:
             fresh, self.index.fresh = self.index.fresh, []
@@ -156,22 +206,19 @@ class Encoder:
                 self.index = _Index()  # rows that were not filled are never read
                 self._renew()
                 raise
+        return row
+
+    def _ids(self, row: np.ndarray, ends: np.ndarray):
+        """(places in the pool, number of ids of each stretch, ids, number of ids of each text) of stretches in a row."""
         count = self.count[row]
         till = np.concatenate([[0], np.cumsum(count)])
         at = np.repeat(self.first[row] - till[:-1], count)
         at += np.arange(len(at))
-        ids, lengths = self.pool[at], np.diff(till[ends])
-        if not self.offsets:
-            return ids, lengths
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        begin = np.cumsum(size) - size
-        begin -= np.repeat(np.concatenate([begin, [size.sum()]])[ends[:-1]], np.diff(ends))
-        moved = np.repeat(begin, count)
-        return ids, lengths, self.spans[at, 0] + moved, self.spans[at, 1] + moved
+        return at, count, self.pool[at], np.diff(till[ends])
 
 
-def encoder(path: str, offsets: bool = False) -> Encoder:
+def encoder(path: str, offsets: bool = False, kept: int = KEPT) -> Encoder:
     """This worker's encoder, kept from task to task."""
-    if (path, offsets) not in _encoders:
-        _encoders[path, offsets] = Encoder(path, offsets)
-    return _encoders[path, offsets]
+    if (path, offsets, kept) not in _encoders:
+        _encoders[path, offsets, kept] = Encoder(path, offsets, kept)
+    return _encoders[path, offsets, kept]

@@ -13,16 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arborlake.llm import coder
 from arborlake.llm.encoder import encoder
-from arborlake.llm.shared import importable, new_path, pieces, stored, tidy
+from arborlake.llm.shared import importable, new_path, slices, stored, tidy
 
 FRAME = struct.Struct("<4sQIIQII")
 MAGIC = b"TKF1"
+#: Stretches kept by one worker.
+KEPT = 1_000_000
 #: Ids of a block, and about the ids of a frame.
 BLOCK = 1 << 20
 
@@ -71,15 +74,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_column: str =
         from pyspark import TaskContext
 
         part, number, before = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0, 0
-        encode, keys, arrays, held = encoder(tokenizer).encode, [], [], 0
+        encode, keys, arrays, held = encoder(tokenizer, kept=KEPT).encode_column, [], [], 0
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([frame(part, number, before, keys, arrays)], pa.binary())], ["frame"])
 
         for batch in batches:
-            some, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for cut in pieces(texts, 1_000_000):
-                ids, lengths = encode(texts[cut])
+            some, texts = batch.column(0).to_pylist(), batch.column(1)
+            for cut in slices(pc.binary_length(texts).fill_null(0).to_pylist(), 4_000_000):
+                ids, lengths = encode(texts[cut.start : cut.stop])
                 for key, n, e in zip(some[cut], lengths, np.cumsum(lengths), strict=True):
                     if held and held + n + 1 > BLOCK:
                         yield made()

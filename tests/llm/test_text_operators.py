@@ -333,3 +333,37 @@ def test_byte_stretches_are_encoded_in_one_text_as_the_library_does():
     made.bytes[:] = 1  # a vocabulary whose tokens are not their bytes
     ids, _ = made.encode([" other words altogether", *odd])
     assert ids.tolist() == [i for t in [" other words altogether", *odd] for i in whole.encode(t, add_special_tokens=False).ids]
+
+
+def test_a_column_looks_each_distinct_stretch_up_once_and_gives_the_library_s_ids(monkeypatch):
+    random.seed(3)
+    odd = [" ", "  ", "\n", ".", ",", "'s", "a", "Zz", "é", "×", "ß", "9", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2009", "\u200b", "\u2014", "\u2028", "\u202f", "\u205f", "\u3000", "漢", "\U0001f469", "\t", "\r"]
+    texts = [*AWKWARD, *(a + b + c for a in odd for b in odd for c in (" x", ".", "")), *("".join(random.choices(odd, k=random.randint(1, 20))) for _ in range(2000)), None, "", "é", "end é."]
+    want = [e.ids for e in tokenizer(BYTES).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    whole = pa.array(["before", *texts, None, "after"])[1:-2]  # a slice: its offsets do not begin with 0
+    for column in (whole, whole.cast(pa.large_string())):
+        made = Encoder(BYTES, kept=300)
+        for at in range(0, len(texts), 700):
+            ids, lengths = made.encode_column(column[at : at + 700])
+            assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want[at : at + 700]
+    for column in (pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        ids, lengths = made.encode_column(column)
+        assert len(ids) == 0 and lengths.tolist() == [0] * len(column)
+    ids, lengths = Encoder(WORDS).encode_column(pa.array(["Two words", None]))
+    assert ids.tolist() == tokenizer(WORDS).encode("Two words", add_special_tokens=False).ids and lengths[1] == 0
+    looked, rows = [], made._rows
+    monkeypatch.setattr(made, "_rows", lambda words: looked.extend(words) or rows(words))
+    made.encode_column(pa.array([" the same words, again" * 400] * 5))
+    assert sorted(looked) == [" again", " same", " the", " words", ","]
+
+
+def test_a_block_holds_its_words_in_the_order_the_decoder_takes_them():
+    ids = np.zeros(3000, np.uint32)
+    assert len(coder.encode(ids)) < 600  # a head and four words for each of 46 lanes, with no counts of words a lane
+    rng = np.random.default_rng(4)
+    for ids in (rng.zipf(1.3, 200_000) % 50_257, rng.integers(0, 1 << 20, 20_000)):  # up to three words a move
+        ids = ids.astype(np.uint32)
+        block = coder.encode(ids)
+        assert (coder.decode(block) == ids).all()
+        with pytest.raises(ValueError):
+            coder.decode(block[:-2])
