@@ -23,6 +23,8 @@ MAGIC = b"CMR2"
 _U = np.uint64
 _TOP, _BOT, _16, _48 = _U(1 << 48), _U(1 << 44), _U(16), _U(48)
 _SHARES = 1 << 12
+#: Lanes of a block at most; a power of two.
+_LANES = 1 << 13
 _GAIN = 8
 #: Ids that order 0 may lag behind at most; at first it lags less.
 _LAG = 32_768
@@ -36,7 +38,7 @@ class _Model:
     """Tables hold guess << 4 | trust. ``kind`` of a lane's id: its class of confidences, + 0 (order 2 predicts it), 256 (order 1) or 512."""
 
     def __init__(self, size: int, lanes: int) -> None:
-        self.counts = np.ones(size, np.int32)  # at most 2**20 + 8 * 2**20 together
+        self.counts = np.ones(size, np.int32)  # at most 2**20 + 8 * 2**21 together
         self.cumulated = np.arange(size + 1, dtype=np.int32)
         self.total = size
         self.fresh: list[np.ndarray] = []
@@ -85,10 +87,9 @@ class _Model:
         rest = np.flatnonzero(value >= 0)
         if len(rest):
             # in order of their values, with the place in the low bits: a search is faster when the last one was near
-            share = value[rest] / self.size[512:][self.by[rest]]  # of numbers below 2**36, so rounded down it is exact
-            keys = np.sort(share.astype(np.int64) << 12 | np.arange(len(rest)))
-            ids = np.searchsorted(self.cumulated, (keys >> 12).astype(np.int32), "right") - 1
-            out[rest[keys & 4095]] = np.minimum(ids, len(self.counts) - 1)
+            share = value[rest] / self.size[512:][self.by[rest]]  # of numbers below 2**37, so rounded down it is exact
+            keys = np.sort(share.astype(np.int64) * _LANES | np.arange(len(rest)))
+            out[rest[keys & (_LANES - 1)]] = np.searchsorted(self.cumulated[1:-1], (keys // _LANES).astype(np.int32), "right")
         return out
 
     def learn(self, ids: np.ndarray) -> None:
@@ -113,17 +114,18 @@ class _Model:
 
 def _moved(low: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Lanes whose leading 16 bits are settled, and these bits, until there are none; only a lane that moved may move again."""
-    at, some, wide = np.arange(len(low)), low, size
+    at, some, wide = None, low, size
     while True:
         settled = (some ^ (some + wide)) < _TOP
-        small = (wide < _BOT) > settled
-        if small.any():
+        small = np.flatnonzero((wide < _BOT) > settled)
+        if len(small):
             wide[small] = (_U(0) - some[small]) & (_BOT - _U(1))
-            settled |= small
+            settled[small] = True
         those = np.flatnonzero(settled)
         if not len(those):
             return
-        at, some, wide = at[those], some[those], wide[those]
+        at = those if at is None else at[those]
+        some, wide = some[those], wide[those]
         yield at, some >> _48
         some <<= _16
         wide <<= _16
@@ -131,9 +133,9 @@ def _moved(low: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """One block of at most 2**20 ids below 2**20."""
+    """One block of at most 2**21 ids below 2**20."""
     n = len(ids)
-    lanes = min(4096, max(1, n // 64))
+    lanes = min(_LANES, max(1, n // 64))
     steps = -(-n // lanes)
     size = int(ids.max()) + 1 if n else 1
     table = np.zeros(lanes * steps, np.int32)
@@ -181,9 +183,8 @@ def decode(data: bytes) -> np.ndarray:
     table = np.zeros((steps, lanes), np.int32)
     for row in table:
         model.predict()
-        whole = model.total * _SHARES
-        unit = wide // _U(whole)
-        value = np.minimum((code - low) // unit, _U(whole - 1)).view(np.int64)
+        unit = wide // _U(model.total * _SHARES)
+        value = ((code - low) // unit).view(np.int64)
         row[:] = model.find(value)
         begin, share = model.interval(row)
         low += unit * begin.view(_U)

@@ -27,7 +27,7 @@ MAGIC = b"TKF1"
 #: Stretches kept by one worker.
 KEPT = 1_000_000
 #: Ids of a block, and about the ids of a frame.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 
 
 def frame(part: int, number: int, before: int, keys: list, arrays: list[np.ndarray]) -> bytes:

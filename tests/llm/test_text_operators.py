@@ -361,7 +361,7 @@ def test_a_block_holds_its_words_in_the_order_the_decoder_takes_them():
     ids = np.zeros(3000, np.uint32)
     assert len(coder.encode(ids)) < 600  # a head and four words for each of 46 lanes, with no counts of words a lane
     rng = np.random.default_rng(4)
-    for ids in (rng.zipf(1.3, 200_000) % 50_257, rng.integers(0, 1 << 20, 20_000)):  # up to three words a move
+    for ids in (rng.zipf(1.3, token_files.BLOCK) % 50_257, rng.integers(0, 1 << 20, 20_000)):  # up to three words a move
         ids = ids.astype(np.uint32)
         block = coder.encode(ids)
         assert (coder.decode(block) == ids).all()
