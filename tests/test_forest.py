@@ -251,3 +251,45 @@ def test_growth_stops_where_a_batch_pays_too_little(spark):
         assert grown.fit(df, "value", key="id").n_trees_ == (4 if keep else 2)
         first, last = grown.tree_history_
         assert not last["accepted"] and abs(last["improvement"] - (first["loss"] - last["loss"]) / first["loss"]) < 1e-12
+
+
+def _windows(node):
+    """(window, whether an aggregate is below it) for all windows of a plan that are not partitioned."""
+    below = [node.children().apply(i) for i in range(node.children().size())]
+    inner = [x for b in below for x in _windows(b)]
+    if node.nodeName() == "Window" and not node.partitionSpec().size():
+        return [(node, "Aggregate" in node.toString()), *inner]
+    return inner
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_ranks_are_of_distinct_values_in_ranges(spark, few, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(analysis, "FEW_VALUES", few, raising=False)
+    monkeypatch.setattr(analysis, "RANGES", 5, raising=False)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 7.5, -0.0, 0.0, float("nan"), rng.uniform(-9, 9)]), rng.choice(TOWNS), rng.randint(0, 400), 7) for _ in range(3000)]
+    toll = spark.createDataFrame(rows, "weight double, town string, axles int, lane int").repartition(6)
+    names = toll.columns
+    ranked = analysis.average_ranks(toll, names)
+    found = sorted(tuple(r) for r in ranked.collect())
+
+    def ranks(values, order):
+        return pd.Series([order(v) for v in values]).rank(method="average").sub(1).tolist()
+
+    columns = list(zip(*rows, strict=True))
+    weight = ranks(columns[0], lambda v: -1e9 if v is None else 1e9 if v != v else v + 0.0)
+    want = [weight, ranks(columns[1], TOWNS.index), ranks(columns[2], int), ranks(columns[3], int)]
+    assert found == sorted(zip(*want, strict=True))
+    matrix = {(r.a, r.b): r.correlation for r in analysis.spearman(toll, names).collect()}
+    assert len(matrix) == 16 and all(matrix[c, "lane"] == (c == "lane") for c in names)
+    assert matrix["axles", "weight"] == matrix["weight", "axles"] == pytest.approx(np.corrcoef(want[0], want[2])[0, 1], abs=1e-9)
+    assert all(counted for _, counted in _windows(ranked._jdf.queryExecution().optimizedPlan()))
+
+
+def test_ranks_of_no_rows_and_of_instants(spark):
+    empty = spark.createDataFrame([], "a double, b int")
+    assert {r.correlation for r in analysis.spearman(empty, ["a", "b"]).filter("a != b").collect()} == {0.0}
+    times = spark.sql("SELECT timestamp'2024-10-27 00:30:00' + make_interval(0, 0, 0, 0, 0, CAST(id % 90 AS INT)) AS at, id % 90 AS n FROM range(900)")
+    assert all(r["at"] == r["n"] for r in analysis.average_ranks(times, ["at", "n"]).collect())
