@@ -293,3 +293,18 @@ def test_ranks_of_no_rows_and_of_instants(spark):
     assert {r.correlation for r in analysis.spearman(empty, ["a", "b"]).filter("a != b").collect()} == {0.0}
     times = spark.sql("SELECT timestamp'2024-10-27 00:30:00' + make_interval(0, 0, 0, 0, 0, CAST(id % 90 AS INT)) AS at, id % 90 AS n FROM range(900)")
     assert all(r["at"] == r["n"] for r in analysis.average_ranks(times, ["at", "n"]).collect())
+
+
+def test_a_pool_has_few_tasks_and_looks_for_its_tracked_rows_once(spark, flats):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        config = Config(n_trees=4, seed=7, oob=True)
+        pool = ForestRegressor().pool(flats, "rent", [config], key="flat")
+        assert pool.indexed.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert pool.tracking(50, 7) is pool.tracking(50, 7) and pool.tracking(50, 7).count() == 50
+        one, two = pool.grown(config), pool.grown(config, pool.tracking(50, 7))
+        assert {r.row_id for r in two.oob_.collect()} < {r.row_id for r in one.oob_.collect()} and one.nodes["cut"].equals(two.nodes["cut"])
+        pool.release()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
